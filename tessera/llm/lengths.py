@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Where the public tokenizer's ranks lie; a parameter of every function that encodes.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to this vocabulary.
@@ -54,6 +56,7 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def with_sums(hist: DataFrame) -> DataFrame:
     """hist(length, n_docs) -> length, n_docs, tokens, docs_at_most, tokens_at_most, docs_at_least, tokens_at_least,
     truncated_tokens (total if documents are cut at length), share_at_most."""
+    hist = common.materialize(hist, "lengths")  # read twice below, made once
     hist = hist.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK).cast("long"))
     inside = Window.partitionBy("block").orderBy("length")
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
