@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 WORDS = 5
 SHARE, SLACK, FLOOR = 1 / 20, 1 / 80, 10
 CHUNK = 4_000_000
+SLOT_BITS = 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -56,6 +57,13 @@ def shingle_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return h
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """Which slots, by their leading bits, hold a key: most other shingles are told apart by one look."""
+    out = np.zeros(1 << SLOT_BITS, bool)
+    out[(keys >> np.uint64(64 - SLOT_BITS)).view(np.int64)] = True
+    return out
+
+
 class Weights:
     """idf of frequent shingles; every other has 1."""
 
@@ -96,21 +104,27 @@ def fit(docs: DataFrame) -> Weights:
     texts = docs.select("text")
 
     def report(batches):
-        bags, docs_in, size = [], 0, 0
+        bags, size = [], 0
 
         def flush():
-            s, n = np.unique(np.concatenate(bags), return_counts=True)
+            # A slot counts at least as often as any shingle in it occurs, so only those in well-filled slots need exact counts.
+            every, docs_in = np.concatenate(bags), len(bags)
+            slots = (every >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+            full = np.flatnonzero((np.bincount(slots, minlength=1 << SLOT_BITS) >= docs_in * SLACK)[slots])
+            owner = np.repeat(np.arange(docs_in), [len(x) for x in bags])[full]
+            found, number = np.unique(every[full], return_inverse=True)
+            pairs = np.unique(number * docs_in + owner)  # a document counts once
+            n = np.bincount(pairs // docs_in, minlength=len(found))
             keep = n >= docs_in * SLACK
-            return pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                bags.append(np.unique(shingle_hashes(word_hashes(t))))
-                docs_in += 1
+                bags.append(shingle_hashes(word_hashes(t)))
                 size += len(bags[-1])
                 if size >= CHUNK:
                     yield flush()
-                    bags, docs_in, size = [], 0, 0
+                    bags, size = [], 0
         if bags:
             yield flush()
 
@@ -124,10 +138,11 @@ def fit(docs: DataFrame) -> Weights:
 
     def count(batches):
         keys = held.value
-        total = np.zeros(len(keys), np.int64)
+        total, maybe = np.zeros(len(keys), np.int64), _slots(keys)
         for b in batches:
             for t in b.column(0).to_pylist():
-                s = np.unique(shingle_hashes(word_hashes(t)))
+                s = shingle_hashes(word_hashes(t))
+                s = np.unique(s[maybe[(s >> np.uint64(64 - SLOT_BITS)).view(np.int64)]])
                 at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                 total[at[keys[at] == s]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(keys[total > 0].view(np.int64)), pa.array(total[total > 0])], names=["shingle", "n"])
