@@ -61,24 +61,24 @@ def fingerprints(docs: DataFrame, weights: shingles.Weights, bands: int = BANDS,
 
 
 def _verify(pairs: DataFrame, weights: shingles.Weights, threshold: float) -> DataFrame:
-    """pairs(u, v, text_u, text_v) -> the (u, v) whose texts reach the threshold."""
+    """pairs(u, v, root, lead_root, text_u, text_v) -> the (root, lead_root) of those whose texts reach the threshold."""
     held = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         w, known = held.value, {}
         for b in batches:
-            u, v, tu, tv = (c.to_pylist() for c in b.columns)
+            v, tu, tv = (b.column(i).to_pylist() for i in (0, 3, 4))
             keep = []
-            for i in range(len(u)):
+            for i in range(len(v)):
                 if v[i] not in known:
                     if len(known) >= 32:
                         known.clear()
                     known[v[i]] = w.bag(tv[i])
                 if shingles.similarity(w.bag(tu[i]), known[v[i]]) >= threshold:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.string()) for x in (u, v)], names=["u", "v"])
+            yield b.select([1, 2]).take(pa.array(keep, pa.int64()))
 
-    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u string, v string")
+    return pairs.select("v", "root", "lead_root", "text_u", "text_v").mapInArrow(run, "root string, lead_root string")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -87,13 +87,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights = shingles.fit(docs)
     marked = common.materialize(fingerprints(docs, weights, bands, rows), "fingerprints")
-    nodes = marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("samples").alias("samples"))
+    nodes = marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"), F.any_value("samples").alias("samples"))
     nodes = common.materialize(nodes, "nodes")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     shared = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key")
     buckets = common.materialize(shared.select("key", "node"), "buckets")
 
-    links, roots, texts, tried = None, None, None, 0
+    roots, texts, tested, tried = None, None, None, 0
     while True:
         held = buckets.withColumn("root", F.col("node"))
         if roots is not None:
@@ -102,37 +102,49 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         pick = F.min if tried % 2 == 0 else F.max
         leaders = members.groupBy("key").agg(pick(F.struct("root", "node")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "x.root", "x.node")
         leaders = leaders.select("key", F.col("root").alias("lead_root"), F.col("node").alias("v"))
-        pairs = members.join(leaders, "key").filter("root <> lead_root").select(F.col("node").alias("u"), "v").distinct()
+        pairs = members.join(leaders, "key").filter("root <> lead_root").select(F.col("node").alias("u"), "v", "root", "lead_root").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
         of_u = nodes.select(F.col("node").alias("u"), F.col("samples").alias("su"))
         of_v = nodes.select(F.col("node").alias("v"), F.col("samples").alias("sv"))
         alike = F.size(F.filter(F.arrays_zip("su", "sv"), lambda x: x["su"] == x["sv"]))
-        pairs = common.materialize(pairs.join(of_u, "u").join(of_v, "v").filter(alike >= AGREE * bands * rows / (BANDS * ROWS)).select("u", "v"), "pairs")
-        if not pairs.take(1):
-            if tried:
+        pairs = pairs.join(of_u, "u").join(of_v, "v").filter(alike >= AGREE * bands * rows / (BANDS * ROWS))
+        pairs = common.materialize(pairs.select("u", "v", "root", "lead_root"), "pairs")
+        tried += 1
+        if pairs.isEmpty():
+            if tried > 1:
                 break
-            tried += 1
             continue
+        tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
         wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         if texts is not None:
             wanted = wanted.join(texts.select("node"), "node", "left_anti")
         ids = wanted.join(nodes.select("node", "rep"), "node").filter("rep is not null")
-        found = docs.join(ids, F.col("doc_id") == F.col("rep")).select("node", "text")
-        found = common.materialize(found, "texts")
+        found = common.materialize(docs.join(ids, F.col("doc_id") == F.col("rep")).select("node", "text"), "texts")
         texts = found if texts is None else texts.unionByName(found)
         joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         new = common.materialize(_verify(joined, weights, threshold), "links")
-        tried += 1
-        if not new.take(1):
+        if new.isEmpty():
             if tried > 1:
                 break
             continue
-        links = new if links is None else links.unionByName(new)
-        roots = common.materialize(graph.components(links), "roots")
-
-    named = marked.select("doc_id", "node")
-    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else named.withColumn("root", F.col("node"))
-    sizes = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.count_distinct("node").alias("n_texts"))
-    done = named.join(sizes, "root", "left")
+        # Components of components: the links between roots are few after the first round.
+        merged = graph.components(new.select(F.col("root").alias("u"), F.col("lead_root").alias("v")))
+        merged = merged.select(F.col("node").alias("old"), F.col("root").alias("to"))
+        if roots is None:
+            roots = merged.select(F.col("old").alias("node"), F.col("to").alias("root"))
+        else:
+            moved = roots.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("to", "root").alias("root"))
+            fresh = merged.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("to").alias("root"))
+            roots = moved.unionByName(fresh)
+        roots = common.materialize(roots, "roots")
+
+    held = nodes.select("node", "rep", "n", F.col("node").alias("root"))
+    if roots is not None:
+        held = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = held.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
+    named = held.select("node", "root").join(sizes, "root").drop("root")
+    done = marked.select("doc_id", "node").join(named, "node", "left")
     return done.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"))
 
 
