@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,13 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+MODULES = ("q_profile", "q_chunks", "q_signals", "q_evaluate", "q_retrieval", "q_graph", "q_tune", "q_io")
+
+
 def _load() -> None:
-    pass
+    """Imports the query modules, which register themselves."""
+    for m in MODULES:
+        importlib.import_module(f"{__package__}.{m}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
