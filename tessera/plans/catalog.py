@@ -41,4 +41,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The strongest topic shifts between neighbouring windows, per language."""
+    return queries()["topic_shifts"](spark, sf_dir)
