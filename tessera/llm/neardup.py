@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, weights: shingles.Weights, bands: int = BANDS,
                 if not len(words):
                     nodes.append(None), keys.append([]), samples.append([])
                     continue
-                nodes.append(hashlib.blake2b(" ".join(t.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+                nodes.append(hashlib.blake2b(b" ".join(shingles.normal(t).split()), digest_size=16).hexdigest())
                 s, tf = np.unique(shingles.shingle_hashes(words), return_counts=True)
                 found = sampler(s, tf * w.of(s))
                 band = np.arange(1, bands + 1, dtype=np.uint64)

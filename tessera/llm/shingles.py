@@ -1,6 +1,6 @@
 """Word shingles, their corpus weights, and improved consistent weighted sampling.
 
-A shingle is five successive words (lower-cased, split at white space), as a 64-bit hash; a text of one to four words is one
+A shingle is five successive words (lower-cased, split at the six ASCII white-space characters), as a 64-bit hash; a text of one to four words is one
 shingle. Its weight in a document is tf * idf, where idf(df) = ln(1 + N / max(df, c)) / ln(1 + N / c) with c = max(10, N / 20):
 1 up to a document frequency of c, and falling for the boilerplate above. So only shingles in more than N / 20 documents need
 a stored frequency, and there are at most 20 times as many of those as shingles in a mean document, whatever the corpus' size.
@@ -16,7 +16,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +28,33 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        if len(self) > 500_000:  # a memo of fixed size
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+SPACES = b" \t\n\v\f\r"
+_rng = np.random.default_rng(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+_BYTE = np.where(_SPACE, 0, _rng.integers(1, 1 << 63, 256, dtype=np.int64)).astype(np.uint64)
+_PLACE = _rng.integers(1, 1 << 63, 4096, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
-_HASHES = _Hashes()
+def normal(text: str | None) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass") if text else b""
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    words = text.lower().split() if text else []
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """A 64-bit hash of every word: random weights of its bytes times random weights of their places, summed over the word."""
+    data = np.frombuffer(normal(text), np.uint8)
+    space = _SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    data = data[starts[0] :]
+    starts = starts - starts[0]
+    place = np.arange(len(data))
+    place -= np.repeat(starts, np.diff(np.append(starts, len(data))))
+    place &= 4095
+    return np.add.reduceat(_BYTE[data] * _PLACE[place], starts)
 
 
 def shingle_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
