@@ -198,12 +198,15 @@ class Sampler:
             r = self.r[(x & np.uint64(0xFFFF)).view(np.int64)]
             beta = ((x >> np.uint64(34)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
             log_w = np.log(weights[s : s + self.BLOCK]).astype(np.float32)
-            level = np.floor(log_w[None, :] / r + beta) if log_w.any() else np.zeros((1, 1), np.float32)
-            a = self.log_c[((x >> np.uint64(16)) & np.uint64(0x3FFFF)).view(np.int64)] - r * (level - beta + 1)
+            a = self.log_c[((x >> np.uint64(16)) & np.uint64(0x3FFFF)).view(np.int64)] - r * (1 - beta)
+            level = np.zeros(a.shape, np.float32)
+            if len(other := np.flatnonzero(log_w)):  # weight 1 has level 0
+                level[:, other] = np.floor(log_w[other] / r[:, other] + beta[:, other])
+                a[:, other] -= r[:, other] * level[:, other]
             at = a.argmin(axis=1)
             found = a[every, at]
             better = found < best
-            picked = np.broadcast_to(level, a.shape)[every, at].astype(np.int64).view(np.uint64)
+            picked = level[every, at].astype(np.int64).view(np.uint64)
             h = (k[at] ^ (picked * _Q)) * _P
             h ^= h >> np.uint64(31)
             out[better], best[better] = h[better], found[better]
