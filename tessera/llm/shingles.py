@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 SHARE, SLACK, FLOOR = 1 / 20, 1 / 80, 10
-CHUNK = 4_000_000
-SLOT_BITS = 20
+CHUNK = 1_000_000
+SLOT_BITS = 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -33,7 +33,17 @@ _rng = np.random.default_rng(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _BYTE = np.where(_SPACE, 0, _rng.integers(1, 1 << 63, 256, dtype=np.int64)).astype(np.uint64)
-_PLACE = _rng.integers(1, 1 << 63, 4096, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+BLOCK_BYTES = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER, _INVERSE = _powers(_ODD, BLOCK_BYTES), _powers(pow(_ODD, -1, 1 << 64), BLOCK_BYTES)
 
 
 def normal(text: str | None) -> bytes:
@@ -41,20 +51,36 @@ def normal(text: str | None) -> bytes:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word: random weights of its bytes times random weights of their places, summed over the word."""
-    data = np.frombuffer(normal(text), np.uint8)
-    space = _SPACE[data]
-    first = ~space
-    first[1:] &= space[:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
+    """A 64-bit hash of every word: a polynomial of its bytes' random values, read off prefix sums over the text."""
+    data = normal(text)
+    if len(data) <= BLOCK_BYTES:
+        return _hash_words(data)
+    parts, at = [], 0
+    while at < len(data):  # blocks end at white space; a word longer than a block is hashed by its blocks
+        end = min(len(data), at + BLOCK_BYTES)
+        if end < len(data):
+            cut = max(data.rfind(bytes([c]), at, end) for c in SPACES)
+            end = cut if cut > at else end
+        parts.append(_hash_words(data[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _hash_words(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    inside = ~_SPACE[data]
+    change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(data) and inside[0]:
+        change = np.concatenate(([0], change))
+    if len(change) % 2:
+        change = np.append(change, len(data))
+    if not len(change):
         return np.empty(0, np.uint64)
-    data = data[starts[0] :]
-    starts = starts - starts[0]
-    place = np.arange(len(data))
-    place -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    place &= 4095
-    return np.add.reduceat(_BYTE[data] * _PLACE[place], starts)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _POWER[: len(data)], out=sums[1:])
+    starts, ends = change[::2], change[1::2]
+    h = (sums[ends] - sums[starts]) * _INVERSE[starts]
+    return h ^ (h >> np.uint64(32))
 
 
 def shingle_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
