@@ -6,7 +6,7 @@
 3. Every band's bucket links its members to one of them (a star, never all pairs): least node first. Pairs whose samples agree
    too rarely for the threshold are dropped; the rest are verified by the weighted Jaccard similarity of their whole texts.
 4. Verified pairs give components. Buckets that still hold several components link their representatives again, to the greatest
-   and the least in turn, until a round adds no link.
+   and the least in turn, until a round adds no link. Representatives are drawn anew in every round and bucket.
 
 A true pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^3)^10 = 0.999. Hot groups have one row for a
 member and bucket; minima are pre-aggregated and joined back, and skewed joins are left to the adaptive planner to split.
@@ -30,6 +30,8 @@ from . import common, graph, shingles
 BANDS, ROWS, THRESHOLD = 10, 3, 0.8
 #: Samples that must agree before texts are compared; 0.8 * 30 is 24, so a pair at the threshold falls below by chance once in 1e5.
 AGREE = 14
+#: Rounds end with one that adds no link, but not before so many.
+LEAST_ROUNDS = 3
 
 
 def fingerprints(docs: DataFrame, weights: shingles.Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -98,7 +100,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         held = buckets.withColumn("root", F.col("node"))
         if roots is not None:
             held = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        members = held.groupBy("key", "root").agg(F.min("node").alias("node"))
+        # Which member stands for its component in a bucket changes with bucket and round: a link to any of them is met sooner or later.
+        members = held.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(tried)), "node"))["node"].alias("node"))
         pick = F.min if tried % 2 == 0 else F.max
         leaders = members.groupBy("key").agg(pick(F.struct("root", "node")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "x.root", "x.node")
         leaders = leaders.select("key", F.col("root").alias("lead_root"), F.col("node").alias("v"))
@@ -112,7 +115,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         pairs = common.materialize(pairs.select("u", "v", "root", "lead_root"), "pairs")
         tried += 1
         if pairs.isEmpty():
-            if tried > 1:
+            if tried >= LEAST_ROUNDS:
                 break
             continue
         tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
@@ -125,7 +128,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         new = common.materialize(_verify(joined, weights, threshold), "links")
         if new.isEmpty():
-            if tried > 1:
+            if tried >= LEAST_ROUNDS:
                 break
             continue
         # Components of components: the links between roots are few after the first round.
