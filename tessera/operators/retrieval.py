@@ -46,14 +46,14 @@ def bm25_scores(chunks: DataFrame) -> DataFrame:
 
 def ranking_metrics(chunks: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, mrr, ndcg, precision, recall, n_queries): chunks without a score follow by index, so only the first k + 2 of them
-    can matter and are added."""
+    can matter and are added. Scores are compared by nine decimals."""
     size = chunks.groupBy("doc_id").agg(F.max("idx").alias("last")).filter("last >= 2")
     queries = chunks.select("doc_id", F.col("idx").alias("q")).join(size, "doc_id")
     low = F.explode(F.sequence(F.lit(0), F.least(F.col("last"), F.lit(k + 1))))
     near = F.explode(F.array_distinct(F.array(F.greatest(F.col("q") - 1, F.lit(0)), F.least(F.col("q") + 1, F.col("last")))))
     fill = queries.select("doc_id", "q", low.alias("d")).unionByName(queries.select("doc_id", "q", near.alias("d"))).filter("d <> q").distinct()
     everything = fill.join(scores, ["doc_id", "q", "d"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    placed = everything.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "q").orderBy(F.desc("score"), "d"))).filter(F.col("r") <= k)
+    placed = everything.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "q").orderBy(F.desc(F.round("score", 9)), "d"))).filter(F.col("r") <= k)
     hit = F.abs(F.col("q") - F.col("d")) == 1
     each = placed.join(size, "doc_id").groupBy("doc_id", "q", "last").agg(
         F.min(F.when(hit, F.col("r"))).alias("first"), F.count_if(hit).alias("hits"), F.sum(F.when(hit, 1.0 / F.log2(F.col("r") + 1.0)).otherwise(0.0)).alias("dcg"),

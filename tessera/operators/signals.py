@@ -117,10 +117,10 @@ def thresholds(signals: DataFrame, signal: str = "hybrid", low: float = 25, high
 
 
 def boundary_types(chunks: DataFrame, signals: DataFrame, signal: str = "hybrid") -> DataFrame:
-    """(doc_id, idx, boundary_type) before merging: hard above the high threshold, merge at or below the low one, else soft; a
+    """(doc_id, idx, boundary_type) before merging: hard above the high threshold, merge below the low one, else soft; a
     document's last chunk ends it."""
     t = thresholds(signals, signal)
     exact = F.round(F.col(signal), 9)
-    kind = F.when(exact > F.col("high"), "hard").when(exact <= F.col("low"), "merge").otherwise("soft")
+    kind = F.when(exact > F.col("high"), "hard").when(exact < F.col("low"), "merge").otherwise("soft")
     marked = signals.join(t, "doc_id").select("doc_id", "idx", kind.alias("kind"))
     return chunks.select("doc_id", "idx").join(marked, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("kind", F.lit("end")).alias("boundary_type"))

@@ -1 +1,90 @@
-"""Queries."""
+"""Queries of entities, the chunk graph and embeddings, over windows of 100 words."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import embed, graph, retrieval
+from . import sql
+from .catalog import register
+from .q_profile import docs
+from .q_signals import chunks
+
+
+@register("entities")
+def entities(spark, sf_dir):
+    return graph.entities(chunks(spark, sf_dir))
+
+
+# Entities of the graph queries: words that are written with a capital inside the oracle's reach, here every distinct token of
+# seven letters or more, so that both engines find the same.
+def _long(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    toks = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{7,}"), F.lit(0)))
+    found = c.select("doc_id", "idx", F.posexplode(toks).alias("pos", "text")).withColumn("label", F.lit("ENTITY"))
+    return graph.canonical(found)
+
+
+SQL_ENTS = r"""ents AS (SELECT doc_id, idx, text, lower(text) AS canonical, 'ENTITY::' || lower(text) AS entity_id FROM (SELECT doc_id, idx, unnest(list_distinct(regexp_extract_all(text, '\p{L}{7,}'))) AS text FROM chunks))"""
+
+
+@register("entity_canonical", f"WITH {sql.CHUNKS}, {SQL_ENTS} SELECT DISTINCT doc_id, idx, canonical, entity_id, entity_id AS parent_id FROM ents")
+def entity_canonical(spark, sf_dir):
+    return _long(spark, sf_dir).select("doc_id", "idx", "canonical", "entity_id", "parent_id").distinct()
+
+
+@register("shared_entity_edges", f"""WITH {sql.CHUNKS}, {SQL_ENTS}, k AS (SELECT DISTINCT doc_id, idx, canonical FROM ents)
+SELECT a.doc_id, a.idx AS source, b.idx AS target, count(*) AS weight, ['shared_entity'] AS types FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.canonical = b.canonical AND a.idx < b.idx GROUP BY ALL""")
+def shared_entity_edges(spark, sf_dir):
+    return graph.edges(_long(spark, sf_dir))
+
+
+@register("cooccurrence", f"""WITH {sql.CHUNKS}, {SQL_ENTS}, k AS (SELECT DISTINCT doc_id, idx, canonical FROM ents WHERE length(canonical) >= 14)
+SELECT a.canonical AS a, b.canonical AS b, count(*) AS cnt FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.canonical <> b.canonical GROUP BY ALL""")
+def cooccurrence(spark, sf_dir):
+    return graph.cooccurrence(_long(spark, sf_dir).filter(F.length("canonical") >= 14))
+
+
+@register("relations")
+def relations(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return graph.relations(c, graph.entities(c))
+
+
+SQL_BOW = f"""hit AS (SELECT doc_id, idx, {sql.bucket('t', 256)} AS d, count(*)::DOUBLE AS c FROM (SELECT doc_id, idx, unnest({sql.tokens('text')}) AS t FROM chunks) GROUP BY ALL),
+bow AS (SELECT doc_id, idx, CAST(d AS INTEGER) AS d, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, idx)) AS v FROM hit)"""
+
+
+@register("bow_embedding", f"WITH {sql.CHUNKS}, {SQL_BOW} SELECT doc_id, idx, d, v FROM bow")
+def bow_embedding(spark, sf_dir):
+    return embed.sparse(chunks(spark, sf_dir))
+
+
+@register("document_fit", f"""WITH {sql.CHUNKS}, {SQL_BOW}, tot AS (SELECT doc_id, sum(n_words) AS words FROM chunks GROUP BY doc_id),
+dims AS (SELECT doc_id, d, sum(v) AS a, sum(v * n_words) AS b FROM bow JOIN chunks USING (doc_id, idx) GROUP BY ALL),
+sums AS (SELECT doc_id, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS s FROM dims GROUP BY doc_id)
+SELECT doc_id, coalesce(s, 0.0::DOUBLE) AS ss2fd, {sql.clip('coalesce(s, 0.0::DOUBLE) / ln(1.0::DOUBLE + words)')} AS qcs FROM tot LEFT JOIN sums USING (doc_id)""")
+def document_fit(spark, sf_dir):
+    return embed.document_fit(chunks(spark, sf_dir))
+
+
+@register("embedding_loo_scores", f"""WITH {sql.CHUNKS}, {SQL_BOW}, big AS (SELECT doc_id FROM chunks GROUP BY doc_id HAVING count(*) >= 3)
+SELECT a.doc_id, a.idx AS q, b.idx AS d, sum(a.v * b.v) AS score FROM bow a JOIN bow b ON a.doc_id = b.doc_id AND a.d = b.d AND a.idx <> b.idx JOIN big ON a.doc_id = big.doc_id GROUP BY ALL""")
+def embedding_loo_scores(spark, sf_dir):
+    return embed.neighbour_scores(chunks(spark, sf_dir))
+
+
+@register("embedding_retrieval_metrics")
+def embedding_retrieval_metrics(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return retrieval.ranking_metrics(c, embed.neighbour_scores(c))
+
+
+_S = sql.parts(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))")
+SQL_TOPIC = rf"""CASE WHEN regexp_extract(text, '(?m)^#{{1,3}}\s+(.+)$', 1) <> '' THEN substr({sql.strip(r"regexp_extract(text, '(?m)^#{1,3}\s+(.+)$', 1)")}, 1, 80)
+  ELSE coalesce(substr(list_filter(({_S})[1:3], lambda s: len({sql.words('s')}) >= 4)[1], 1, 80), 'the provided content') END"""
+
+
+@register("inferred_topic", f"SELECT doc_id, {SQL_TOPIC} AS topic FROM documents")
+def inferred_topic(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", graph.topic(F.col("text")).alias("topic"))

@@ -1 +1,66 @@
-"""Queries."""
+"""Queries of the sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import boundary, signals
+from ..sources import readers, sinks
+from . import sql
+from .catalog import register
+from .q_profile import docs
+from .q_signals import SQL_DIST, SQL_ICC, chunks
+
+
+@register("export_csv", f"WITH {sql.CHUNKS} SELECT doc_id, idx, n_words, replace(substr(text, 1, 120), chr(10), ' ') AS preview FROM chunks")
+def export_csv(spark, sf_dir):
+    return sinks.csv_rows(chunks(spark, sf_dir)).withColumn("n_words", F.col("n_words").cast("long"))
+
+
+@register("export_markdown", f"""WITH {sql.CHUNKS} SELECT doc_id, md5('# Chunks: ' || count(*) || chr(10) || chr(10) ||
+  string_agg('## Chunk ' || (idx + 1) || chr(10) || '<!-- words: ' || n_words || ' -->' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY idx)) AS md FROM chunks GROUP BY doc_id""")
+def export_markdown(spark, sf_dir):
+    return sinks.markdown(chunks(spark, sf_dir)).select("doc_id", F.md5("markdown").alias("md"))
+
+
+@register("export_json")
+def export_json(spark, sf_dir):
+    return sinks.json_documents(chunks(spark, sf_dir))
+
+
+SQL_SCORED = f"""{SQL_DIST}, {SQL_ICC}, scored AS (SELECT c.doc_id, c.idx, c.text, 0.4::DOUBLE * 0.5::DOUBLE + 0.3::DOUBLE * coalesce(nullif(icc, 0.0::DOUBLE), 0.5::DOUBLE) + 0.3::DOUBLE * least(coalesce(jsd, 0.0::DOUBLE) * 2.0::DOUBLE, 1.0::DOUBLE) AS score
+  FROM chunks c LEFT JOIN distances USING (doc_id, idx) LEFT JOIN iccs USING (doc_id, idx))"""
+
+
+def _scored(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    j = c.join(signals.distances(c), ["doc_id", "idx"], "left").join(boundary.coherence(c), ["doc_id", "idx"], "left")
+    return j.select("doc_id", "idx", "text", sinks.chunk_score(F.lit(None).cast("double"), F.col("icc"), F.coalesce("jsd", F.lit(0.0))).alias("score"))
+
+
+@register("chunk_scores", f"WITH {sql.CHUNKS}, {SQL_SCORED} SELECT doc_id, idx, score FROM scored")
+def chunk_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "idx", "score")
+
+
+@register("explorer_filter", f"WITH {sql.CHUNKS}, {SQL_SCORED} SELECT doc_id, idx, 'medium' AS band FROM scored WHERE contains(lower(text), 'ation') AND score >= 0.5 AND score < 0.75")
+def explorer_filter(spark, sf_dir):
+    return sinks.explore(_scored(spark, sf_dir), "Ation", "medium").select("doc_id", "idx", "band")
+
+
+# The documents of a source stand for the pages of one document.
+_L = sql.full_lines("text")
+
+
+@register("repeated_lines", rf"""WITH src AS (SELECT source AS doc_id, doc_id AS page, text FROM documents),
+edges AS (SELECT doc_id, page, unnest(list_distinct(CASE WHEN len(ls) <= 6 THEN ls ELSE ls[1:3] || ls[-3:] END)) AS line FROM (SELECT doc_id, page, {_L} AS ls FROM src)),
+tot AS (SELECT doc_id, count(DISTINCT page) AS n FROM src GROUP BY doc_id)
+SELECT doc_id, line FROM edges JOIN tot USING (doc_id) WHERE len({sql.words('line')}) <= 12 GROUP BY doc_id, line, n HAVING count(DISTINCT page) >= greatest(2.0, n * 0.1)""")
+def repeated_lines(spark, sf_dir):
+    pages = docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    return readers.repeated_lines(pages, 0.1)
+
+
+@register("page_numbers", rf"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, {sql.q(readers.PAGE_NUMBER)})), chr(10)) AS text FROM documents""")
+def page_numbers(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", readers.without_page_numbers(F.col("text")).alias("text"))

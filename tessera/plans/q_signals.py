@@ -110,7 +110,7 @@ def percentile_thresholds(spark, sf_dir):
 
 
 @register("boundary_types", f"""WITH {sql.CHUNKS}, {SQL_DIST}, {SQL_THRESHOLDS}
-SELECT c.doc_id, c.idx, CASE WHEN d.jsd IS NULL THEN 'end' WHEN round(d.jsd, 9) > high THEN 'hard' WHEN round(d.jsd, 9) <= low THEN 'merge' ELSE 'soft' END AS boundary_type
+SELECT c.doc_id, c.idx, CASE WHEN d.jsd IS NULL THEN 'end' WHEN round(d.jsd, 9) > high THEN 'hard' WHEN round(d.jsd, 9) < low THEN 'merge' ELSE 'soft' END AS boundary_type
 FROM chunks c LEFT JOIN distances d USING (doc_id, idx) LEFT JOIN thresholds t ON c.doc_id = t.doc_id""")
 def boundary_types(spark, sf_dir):
     c = chunks(spark, sf_dir)

@@ -1 +1,69 @@
-"""Queries."""
+"""Queries of the folds (chunking, refinement) and of the parameter search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import boundary, chunkers, evaluate, profile, refine, tune
+from .catalog import register
+from .q_profile import docs
+from .q_signals import chunks
+
+
+def typed(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", "text", profile.doc_type(F.col("text")).alias("type"))
+
+
+def _strategy(name: str):
+    @register(f"chunks_{name}")
+    def query(spark, sf_dir):
+        return chunkers.chunk(typed(spark, sf_dir), (name,))
+
+    return query
+
+
+for _name in chunkers.STRATEGIES:
+    _strategy(_name)
+
+
+@register("strategy_winner")
+def strategy_winner(spark, sf_dir):
+    """The best strategy of every document by quality."""
+    found = evaluate.quality(chunkers.chunk(typed(spark, sf_dir)), 80, 500)
+    return evaluate.ranked(found.withColumnRenamed("quality", "score")).filter("winner").select("doc_id", "strategy", "n_chunks", "score")
+
+
+@register("refined_chunks")
+def refined_chunks(spark, sf_dir):
+    return refine.refine(chunks(spark, sf_dir).withColumn("strategy", F.lit("sliding_window")))
+
+
+@register("merged_chunks")
+def merged_chunks(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    scaled = c.join(boundary.multiscale(c), ["doc_id", "idx"], "left").withColumn("strategy", F.lit("sliding_window"))
+    return refine.merge(scaled)
+
+
+@register("parameter_search")
+def parameter_search(spark, sf_dir):
+    return tune.search(typed(spark, sf_dir), "paragraph_pack", size=4, generations=2)
+
+
+# Seven numbers in [0, 1) from a document's id.
+def _gene(d: int) -> str:
+    return f"(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '{d}'), 1, 6) AS BIGINT) / 16777216.0::DOUBLE)"
+
+
+def _sql_gene(d: int) -> str:
+    name, lo, hi, step = tune.GENES[d]
+    value = f"({lo}::DOUBLE + {_gene(d)} * {hi - lo}::DOUBLE)"
+    return f"least(greatest({f'round_even({value} / {step}::DOUBLE, 0) * {step}::DOUBLE' if step else value}, {lo}::DOUBLE), {hi}::DOUBLE) AS g{d}"
+
+
+@register("gene_decode", f"""SELECT doc_id, g0 AS n_max, CASE WHEN g1 >= g0 - 50 THEN greatest(30.0::DOUBLE, g0 - 50) ELSE g1 END AS n_min, g2 AS tau_jsd_low,
+  CASE WHEN g2 >= g3 - 0.08::DOUBLE THEN least(0.80::DOUBLE, g2 + 0.10::DOUBLE) ELSE g3 END AS tau_jsd_high, g4 AS tau_sem, g5 AS tau_percentile_low, g6 AS tau_percentile_high
+FROM (SELECT doc_id, {', '.join(_sql_gene(d) for d in range(7))} FROM documents)""")
+def gene_decode(spark, sf_dir):
+    digits = [F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(str(d)))), 1, 6), 16, 10).cast("double") / 16777216.0 for d in range(7)]
+    return docs(spark, sf_dir).select("doc_id", F.array(*digits).alias("genes")).select("doc_id", *[c.alias(n) for n, c in tune.decode(F.col("genes")).items()])
