@@ -6,7 +6,7 @@
 3. Every band's bucket links its members to one of them (a star, never all pairs): least node first. Pairs whose samples agree
    too rarely for the threshold are dropped; the rest are verified by the weighted Jaccard similarity of their whole texts.
 4. Verified pairs give components. Buckets that still hold several components link their representatives again, to the greatest
-   and the least in turn, until a round adds no link. Representatives are drawn anew in every round and bucket.
+   and the least in turn, until a round adds next to none. Representatives are drawn anew in every round and bucket.
 
 A true pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^3)^10 = 0.999. Hot groups have one row for a
 member and bucket; minima are pre-aggregated and joined back, and skewed joins are left to the adaptive planner to split.
@@ -30,8 +30,9 @@ from . import common, graph, shingles
 BANDS, ROWS, THRESHOLD = 10, 3, 0.8
 #: Samples that must agree before texts are compared; 0.8 * 30 is 24, so a pair at the threshold falls below by chance once in 1e5.
 AGREE = 14
-#: Rounds end with one that adds no link, but not before so many.
-LEAST_ROUNDS = 3
+#: Rounds end with one that links no more than this share of the texts in shared buckets (none of under a thousand), the share of
+#: pairs that the bands miss by chance; but not before so many.
+LEAST_ROUNDS, SETTLED = 2, 0.001
 
 
 def fingerprints(docs: DataFrame, weights: shingles.Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -95,6 +96,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     shared = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key")
     buckets = common.materialize(shared.select("key", "node"), "buckets")
 
+    settled = SETTLED * buckets.select("node").distinct().count()
     roots, texts, tested, tried = None, None, None, 0
     while True:
         held = buckets.withColumn("root", F.col("node"))
@@ -127,7 +129,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         texts = found if texts is None else texts.unionByName(found)
         joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         new = common.materialize(_verify(joined, weights, threshold), "links")
-        if new.isEmpty():
+        n_new = new.count()
+        if n_new == 0:
             if tried >= LEAST_ROUNDS:
                 break
             continue
@@ -141,6 +144,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
             fresh = merged.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("to").alias("root"))
             roots = moved.unionByName(fresh)
         roots = common.materialize(roots, "roots")
+        if tried >= LEAST_ROUNDS and n_new <= settled:
+            break
 
     held = nodes.select("node", "rep", "n", F.col("node").alias("root"))
     if roots is not None:
