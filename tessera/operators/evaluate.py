@@ -12,13 +12,16 @@ from ..functions import hashing, text as tx
 from ..operators.profile import is_heading
 
 KEY = ("doc_id", "strategy")
-ORDER = Window.partitionBy(*KEY).orderBy("idx")
 
 # Stop words of the distinctness and separation scores.
 STOP_DISTINCT = "the and for that with from this dans pour avec des les une sur par aux que est article titre chapitre section".split()
 STOP_SEPARATION = "the a an and or but is are was were in on at to for of with by from as le la les de des du et en un une".split()
 
 
+def order():
+    return Window.partitionBy(*KEY).orderBy("idx")
+
+
 def starts_well(text: Column) -> Column:
     return text.rlike(r"^(?:\p{Lu}|\d)")
 
@@ -49,7 +52,7 @@ def distinctness(chunks: DataFrame) -> DataFrame:
     """1 minus the mean overlap coefficient of neighbours' content sets; 0.7 for a pair with an empty one, 1 for a single chunk."""
     unwanted = F.array(*[F.lit(w) for w in STOP_DISTINCT])
     kept = F.array_distinct(F.filter(tx.tokens(F.col("text"), 3), lambda t: ~F.array_contains(unwanted, t) & ~t.rlike(r"^\p{N}+$")))
-    pairs = chunks.select(*KEY, "idx", kept.alias("a")).withColumn("b", F.lead("a").over(ORDER))
+    pairs = chunks.select(*KEY, "idx", kept.alias("a")).withColumn("b", F.lead("a").over(order()))
     n = F.least(F.size("a"), F.size("b"))
     value = F.when(n == 0, 0.7).otherwise(1.0 - F.size(F.array_intersect("a", "b")) / n)
     return pairs.groupBy(*KEY).agg(F.coalesce(F.avg(F.when(F.col("b").isNotNull(), value)), F.lit(1.0)).alias("distinctness"))
@@ -69,7 +72,7 @@ def separation(chunks: DataFrame, dim: int = 128) -> DataFrame:
     """Mean of 1 minus the cosine of neighbours' bags over buckets; 0.5 without a pair."""
     unwanted = F.array(*[F.lit(w) for w in STOP_SEPARATION])
     kept = F.filter(tx.tokens(F.col("text"), 3), lambda t: ~F.array_contains(unwanted, t))
-    bags = chunks.select(*KEY, "idx", F.transform(kept, lambda t: hashing.bucket(t, dim)).alias("x")).withColumn("y", F.lead("x").over(ORDER))
+    bags = chunks.select(*KEY, "idx", F.transform(kept, lambda t: hashing.bucket(t, dim)).alias("x")).withColumn("y", F.lead("x").over(order()))
     value = F.when((F.size("x") > 0) & F.col("y").isNotNull() & (F.size("y") > 0), tx.clip(1.0 - hashing.bucket_cosine(F.col("x"), F.col("y"))))
     return bags.groupBy(*KEY).agg(F.coalesce(F.avg(value), F.lit(0.5)).alias("separation"))
 
@@ -89,7 +92,7 @@ def sizes(chunks: DataFrame, n_min: int, n_max: int, share: float = 0.72) -> Dat
 def quality(chunks: DataFrame, n_min: int = 100, n_max: int = 500) -> DataFrame:
     """The strategy quality that picks a winner (and is the tuner's fitness)."""
     sets = F.array_distinct(tx.content_tokens(F.col("text"), tx.STOP_CHUNKS))
-    pairs = chunks.select(*KEY, "idx", sets.alias("a")).withColumn("b", F.lead("a").over(ORDER))
+    pairs = chunks.select(*KEY, "idx", sets.alias("a")).withColumn("b", F.lead("a").over(order()))
     div = pairs.groupBy(*KEY).agg(F.coalesce(F.avg(F.when(F.col("b").isNotNull(), 1.0 - tx.jaccard(F.col("a"), F.col("b")))), F.lit(0.5)).alias("divergence"))
     t = tx.strip(F.col("text"))
     first = F.coalesce(F.element_at(tx.lines(t), 1), F.lit(""))

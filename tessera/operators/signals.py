@@ -71,7 +71,7 @@ def pmi_drop(chunks: DataFrame, k: int = 8) -> DataFrame:
 
 def depth_change(text_b: Column) -> Column:
     """How high in the document's outline the right chunk's first line stands; 0 without a marker."""
-    first = F.coalesce(F.element_at(F.filter(F.transform(tx.lines(text_b), tx.strip), lambda x: x != ""), 1), F.lit(""))
+    first = F.coalesce(F.try_element_at(F.filter(F.transform(tx.lines(text_b), tx.strip), lambda x: x != ""), F.lit(1)), F.lit(""))
     out = F.lit(0.0)
     for pattern, depth in reversed(DEPTHS):
         out = F.when(first.rlike("(?iu)" + pattern), 1.0 - (depth - 1) / 6.0).otherwise(out)

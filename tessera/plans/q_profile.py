@@ -14,7 +14,8 @@ def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-T = F.col("text")
+def t():
+    return F.col("text")
 
 SQL_TYPE = f"""CASE WHEN len(list_filter(string_split(text, chr(10))[1:200], lambda x: {' OR '.join(f'regexp_matches(x, {sql.q(p)})' for p in pf.CODE_LINES)}))::DOUBLE / len(string_split(text, chr(10))) > 0.08 THEN 'code'
   WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {sql.q(pf.TABLE_LINE)})))::DOUBLE / len(string_split(text, chr(10))) > 0.08 THEN 'table'
@@ -27,19 +28,19 @@ SQL_TYPE = f"""CASE WHEN len(list_filter(string_split(text, chr(10))[1:200], lam
 @register("word_tokens", f"""SELECT doc_id, len({sql.words('text')}) AS n_words, len({sql.tokens('text')}) AS n_tokens,
   len(list_distinct({sql.tokens('text')})) AS n_types, len({sql.content('text', tx.STOP_PROFILE)}) AS n_content FROM documents""")
 def word_tokens(spark, sf_dir):
-    toks = tx.tokens(T)
-    return docs(spark, sf_dir).select("doc_id", tx.n_words(T).cast("long").alias("n_words"), F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_types"), F.size(tx.content_tokens(T, tx.STOP_PROFILE)).cast("long").alias("n_content"))
+    toks = tx.tokens(t())
+    return docs(spark, sf_dir).select("doc_id", tx.n_words(t()).cast("long").alias("n_words"), F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_types"), F.size(tx.content_tokens(t(), tx.STOP_PROFILE)).cast("long").alias("n_content"))
 
 
 @register("doc_type", f"SELECT doc_id, {SQL_TYPE} AS type FROM documents")
 def doc_type(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", pf.doc_type(T).alias("type"))
+    return docs(spark, sf_dir).select("doc_id", pf.doc_type(t()).alias("type"))
 
 
 @register("length_bucket", f"""SELECT doc_id, len({sql.words('text')}) AS n_words,
   CASE WHEN len({sql.words('text')}) < 1000 THEN 'short' WHEN len({sql.words('text')}) <= 10000 THEN 'medium' ELSE 'long' END AS bucket FROM documents""")
 def length_bucket(spark, sf_dir):
-    n = tx.n_words(T).cast("long")
+    n = tx.n_words(t()).cast("long")
     return docs(spark, sf_dir).select("doc_id", n.alias("n_words"), pf.length_bucket(n).alias("bucket"))
 
 
@@ -85,7 +86,7 @@ SQL_HEADING = f"length({sql.strip('x')}) <= 120 AND {sql.strip('x')} <> '' AND (
   WHEN len(list_filter(string_split(text, chr(10)), lambda x: {SQL_HEADING})) >= 2 THEN 'sectioned'
   WHEN len({sql.parts(r"regexp_split_to_array(text, '\n{2,}')")}) >= 3 THEN 'paragraph' ELSE 'plain' END AS structure FROM documents""")
 def structure_type(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", pf.structure_type(T, pf.doc_type(T)).alias("structure"))
+    return docs(spark, sf_dir).select("doc_id", pf.structure_type(t(), pf.doc_type(t())).alias("structure"))
 
 
 def _re2(p: str) -> str:
@@ -97,7 +98,7 @@ SQL_CUES = ", ".join(f"{sql.count('text', _re2(p))} AS {k}" for k, p in pf.CUES.
 
 @register("cue_counts", f"SELECT doc_id, {SQL_CUES} FROM documents")
 def cue_counts(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", *[c.cast("long").alias(k) for k, c in pf.cue_counts(T).items()])
+    return docs(spark, sf_dir).select("doc_id", *[c.cast("long").alias(k) for k, c in pf.cue_counts(t()).items()])
 
 
 SQL_GATE_PARTS = rf"""SELECT doc_id, text, {SQL_TYPE} AS type, greatest(length(text), 1)::DOUBLE AS n_chars, {sql.full_lines('text')} AS ls, {sql.content('text', tx.STOP_PROFILE)} AS content,
@@ -111,7 +112,7 @@ SQL_GATE = rf"""CASE WHEN {sql.strip('text')} = '' THEN 0.0::DOUBLE ELSE {sql.cl
 
 @register("quality_gate", f"WITH p AS ({SQL_GATE_PARTS}) SELECT doc_id, {SQL_GATE} AS gate FROM p")
 def quality_gate(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", pf.quality_gate(T, tx.content_tokens(T, tx.STOP_PROFILE)).alias("gate"))
+    return docs(spark, sf_dir).select("doc_id", pf.quality_gate(t(), tx.content_tokens(t(), tx.STOP_PROFILE)).alias("gate"))
 
 
 def _sql_balance(a: str, b: str) -> str:
@@ -124,7 +125,7 @@ SQL_BALANCE = sql.clip(f"1.0::DOUBLE - ({_sql_balance('(', ')')} + {_sql_balance
 
 @register("delimiter_balance", f"SELECT doc_id, {SQL_BALANCE} AS balance FROM documents")
 def delimiter_balance(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", pf.delimiter_balance(T).alias("balance"))
+    return docs(spark, sf_dir).select("doc_id", pf.delimiter_balance(t()).alias("balance"))
 
 
 SQL_CUE_SCORE = sql.clip(
@@ -135,7 +136,7 @@ SQL_CUE_SCORE = sql.clip(
 
 @register("retrieval_cue_score", f"WITH p AS ({SQL_GATE_PARTS}) SELECT doc_id, {SQL_CUE_SCORE} AS cue_score FROM p")
 def retrieval_cue_score(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", pf.cue_score(pf.cue_counts(T), F.size(tx.blocks(T)), pf.doc_type(T)).alias("cue_score"))
+    return docs(spark, sf_dir).select("doc_id", pf.cue_score(pf.cue_counts(t()), F.size(tx.blocks(t())), pf.doc_type(t())).alias("cue_score"))
 
 
 def _sql_cohesion(items: str, share: float) -> str:
@@ -158,13 +159,13 @@ SQL_DCC = f"dcc AS ({_sql_cohesion('blocks', 0.40)})"
 
 @register("sentence_cohesion", f"WITH p AS ({SQL_GATE_PARTS}), {SQL_ICC} SELECT p.doc_id, len(sentences) AS n_sentences, coalesce(raw, 0.6::DOUBLE) AS cohesion FROM p LEFT JOIN icc USING (doc_id)")
 def sentence_cohesion(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", tx.sentences(T).alias("s"))
+    d = docs(spark, sf_dir).select("doc_id", tx.sentences(t()).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("n_sentences")).join(pf.cohesion(pf.exploded(d, F.col("s")), 0.35), "doc_id", "left").select("doc_id", "n_sentences", F.coalesce("raw", F.lit(0.6)).alias("cohesion"))
 
 
 @register("block_coherence", f"WITH p AS ({SQL_GATE_PARTS}), {SQL_DCC} SELECT p.doc_id, len(blocks) AS n_blocks, coalesce(raw, 0.6::DOUBLE) AS coherence FROM p LEFT JOIN dcc USING (doc_id)")
 def block_coherence(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", tx.blocks(T).alias("b"))
+    d = docs(spark, sf_dir).select("doc_id", tx.blocks(t()).alias("b"))
     return d.select("doc_id", F.size("b").cast("long").alias("n_blocks")).join(pf.cohesion(pf.exploded(d, F.col("b")), 0.40), "doc_id", "left").select("doc_id", "n_blocks", F.coalesce("raw", F.lit(0.6)).alias("coherence"))
 
 
@@ -177,7 +178,7 @@ SQL_INTEGRITY = rf"""CASE WHEN {sql.strip('text')} = '' THEN 0.0::DOUBLE ELSE {s
 
 @register("block_integrity", f"WITH p AS ({SQL_GATE_PARTS}) SELECT doc_id, {SQL_INTEGRITY} AS integrity FROM p")
 def block_integrity(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", pf.integrity(T, tx.sentences(T), tx.blocks(T), pf.doc_type(T)).alias("integrity"))
+    return docs(spark, sf_dir).select("doc_id", pf.integrity(t(), tx.sentences(t()), tx.blocks(t()), pf.doc_type(t())).alias("integrity"))
 
 
 SQL_SIZES = rf"""sizes AS (SELECT doc_id, any_value(type) AS type, any_value(total) AS total, count(*)::DOUBLE AS n, avg(k) AS mean, stddev_pop(k) AS sd,
@@ -192,7 +193,7 @@ SQL_SIZE = rf"""CASE WHEN len(p.content) = 0 THEN 0.0::DOUBLE WHEN len(p.content
 
 @register("size_compliance", f"WITH p AS ({SQL_GATE_PARTS}), {SQL_SIZES} SELECT p.doc_id, {SQL_SIZE} AS compliance FROM p LEFT JOIN sizes USING (doc_id)")
 def size_compliance(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", pf.doc_type(T).alias("type"), tx.blocks(T).alias("blocks"), F.size(tx.content_tokens(T, tx.STOP_PROFILE)).alias("total"))
+    d = docs(spark, sf_dir).select("doc_id", pf.doc_type(t()).alias("type"), tx.blocks(t()).alias("blocks"), F.size(tx.content_tokens(t(), tx.STOP_PROFILE)).alias("total"))
     found = pf.size_compliance(F.col("blocks_n"), F.col("size_mean"), F.col("size_sd"), F.col("packable"), F.col("total"), F.col("type"))
     return d.join(pf.block_sizes(d), "doc_id", "left").select("doc_id", found.alias("compliance"))
 
@@ -205,7 +206,7 @@ def _sql_language(variant: str) -> str:
 
 @register("language_heuristic", f"SELECT doc_id, {_sql_language('signals')} AS lang_signals, {_sql_language('entities')} AS lang_entities FROM documents")
 def language_heuristic(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", pf.language(T, "signals").alias("lang_signals"), pf.language(T, "entities").alias("lang_entities"))
+    return docs(spark, sf_dir).select("doc_id", pf.language(t(), "signals").alias("lang_signals"), pf.language(t(), "entities").alias("lang_entities"))
 
 
 SQL_METRICS = f"""metrics AS (SELECT p.doc_id, p.type, len({sql.words('text')}) AS n_tokens, g.gate,
