@@ -169,7 +169,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
                 doc_ids, rows = b.column(0).to_pylist(), []
                 for i, found in index.scan(b.column(1).to_pylist()):
                     rows += [(doc_ids[i], index.items[j][0], *rest) for j, *rest in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
 
         return run
 
