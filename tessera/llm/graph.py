@@ -10,9 +10,8 @@ from . import common
 
 def _is_done(edges: DataFrame) -> bool:
     """Every u has one v, and no v is a u: each component is a star around its least id."""
-    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
-    inner = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-    return several.unionByName(inner).isEmpty()
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    return roles.groupBy("node").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v")).filter("as_u > 1 or (as_u > 0 and as_v > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
