@@ -12,6 +12,7 @@ import numpy as np
 BUCKETS, D, H, A = 1 << 15, 12, 8, 8
 WINDOW, STRIDE = 32, 16
 PREFIX = 5
+WORDS_AT_ONCE = 20_000
 #: Weights of a summary that the fit of the head starts from and is drawn to.
 START = (0.3, 0.2, 0.0, 0.0)
 #: Of training: share of words hidden at random, least probability of a toxic document's worst window, least number of steps.
@@ -101,7 +102,7 @@ class BiGRU:
 
     def projections(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """What the words give to the gates, forward and backward."""
-        x = self.inputs(words)
+        x = np.concatenate([self.inputs(words[s : s + WORDS_AT_ONCE]) for s in range(0, max(1, len(words)), WORDS_AT_ONCE)])
         return x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]
 
     # Scoring: nothing is kept but the states.
@@ -210,8 +211,10 @@ class Words:
     """The training words' parts."""
 
     def __init__(self, words: list[str]):
-        self.buckets, starts = grams(words)
-        self.starts = np.append(starts, len(self.buckets))
+        parts = [grams(words[s : s + WORDS_AT_ONCE]) for s in range(0, max(1, len(words)), WORDS_AT_ONCE)]
+        shift = np.cumsum([0, *(len(b) for b, _ in parts)])
+        self.buckets = np.concatenate([b for b, _ in parts])
+        self.starts = np.append(np.concatenate([s + k for (_, s), k in zip(parts, shift)]), len(self.buckets))
 
     def of(self, used: np.ndarray):
         sizes = self.starts[used + 1] - self.starts[used]
