@@ -6,7 +6,9 @@
 3. Every band's bucket links its members to one of them (a star, never all pairs): least node first. Pairs whose samples agree
    too rarely for the threshold are dropped; the rest are verified by the weighted Jaccard similarity of their whole texts.
 4. Verified pairs give components. Buckets that still hold several components link their representatives again, to the greatest
-   and the least in turn, until a round adds next to none. Representatives are drawn anew in every round and bucket.
+   and the least in turn, while that links many. Representatives are drawn anew in every round and bucket.
+5. What is left is settled exactly: in buckets that hold several components, members of different ones are compared block by
+   block, and every pair that agrees often enough and wasn't tested yet is verified.
 
 A true pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^3)^10 = 0.999. Hot groups have one row for a
 member and bucket; minima are pre-aggregated and joined back, and skewed joins are left to the adaptive planner to split.
@@ -30,37 +32,100 @@ from . import common, graph, shingles
 BANDS, ROWS, THRESHOLD = 10, 3, 0.8
 #: Samples that must agree before texts are compared; 0.8 * 30 is 24, so a pair at the threshold falls below by chance once in 1e5.
 AGREE = 14
-#: Rounds end with one that links no more than this share of the texts in shared buckets (none of under a thousand), the share of
-#: pairs that the bands miss by chance; but not before so many.
+#: After so many rounds, one that links no more than this share of the texts in shared buckets is the last before the exact comparison.
 LEAST_ROUNDS, SETTLED = 2, 0.001
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 1024
 
 
 def fingerprints(docs: DataFrame, weights: shingles.Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, node (fingerprint; null without words), keys array<bigint>, samples array<int>."""
+    """docs(doc_id, text) -> doc_id, node (fingerprint; null without words), keys array<bigint>, samples array<int>, total (weight)."""
     held = docs.sparkSession.sparkContext.broadcast((weights, shingles.Sampler(bands * rows)))
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("keys", pa.list_(pa.int64())), ("samples", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("keys", pa.list_(pa.int64())), ("samples", pa.list_(pa.int32())), ("total", pa.float64())])
 
     def run(batches):
         w, sampler = held.value
         for b in batches:
-            nodes, keys, samples = [], [], []
+            nodes, keys, samples, totals = [], [], [], []
             for t in b.column(1).to_pylist():
                 words = shingles.word_hashes(t)
                 if not len(words):
-                    nodes.append(None), keys.append([]), samples.append([])
+                    nodes.append(None), keys.append([]), samples.append([]), totals.append(0.0)
                     continue
                 nodes.append(hashlib.blake2b(b" ".join(shingles.normal(t).split()), digest_size=16).hexdigest())
                 s, tf = np.unique(shingles.shingle_hashes(words), return_counts=True)
-                found = sampler(s, tf * w.of(s))
+                weight = tf * w.of(s)
+                found = sampler(s, weight)
+                totals.append(float(weight.sum()))
                 band = np.arange(1, bands + 1, dtype=np.uint64)
                 for i in range(rows):
                     band = (band ^ found[i::rows]) * np.uint64(0x9E3779B97F4A7C15)
                     band ^= band >> np.uint64(32)
                 keys.append(band.view(np.int64))
                 samples.append((found >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((b.column(0).to_pylist(), nodes, keys, samples), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((b.column(0).to_pylist(), nodes, keys, samples, totals), schema)], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, node string, keys array<bigint>, samples array<int>, total double")
+
+
+def _candidates(held: DataFrame, nodes: DataFrame, least: float, threshold: float, thin: bool) -> DataFrame:
+    """held(key, node, root), nodes(node, samples, total) -> (u, v, root, lead_root): all pairs of a bucket's members in different
+    components that agree in `least` samples or more and whose weights allow the threshold; if thin, a member's best of every
+    other component and block only. Blocks are held against each other apart, so a task's size doesn't grow with a bucket."""
+    several = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
+    part = held.join(several, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    part = part.select("key", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    part = part.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
+    part = part.join(nodes.select("node", "samples", "total"), "node").select("key", "i", "j", "part", "node", "root", "samples", "total")
+    schema = pa.schema([(c, pa.string()) for c in ("u", "v", "root", "lead_root")])
+
+    def pairs(t):
+        part, node, root = t.column(3).to_numpy(), t.column(4).to_pylist(), t.column(5).to_pylist()
+        samples = t.column(6).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        total, number = t.column(7).to_numpy(), np.unique(root, return_inverse=True)[1]
+        ids = [t.column(c).to_numpy() for c in range(3)]
+        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        for a, b in zip([0, *cut], [*cut, t.num_rows]):
+            one = ids[1][a] == ids[2][a]
+            for p in range(a, b):
+                if not one and part[p] != ids[1][a]:
+                    continue
+                q = np.arange(p + 1, b) if one else a + np.flatnonzero(part[a:b] == ids[2][a])
+                q = q[(number[q] != number[p]) & (np.minimum(total[q], total[p]) >= (threshold - 1e-9) * np.maximum(total[q], total[p]))]
+                agree = (samples[q] == samples[p]).sum(axis=1)
+                q, agree = q[agree >= least], agree[agree >= least]
+                if thin and len(q):
+                    q = q[np.argsort(-agree, kind="stable")]
+                    q = q[np.unique(number[q], return_index=True)[1]]
+                for x in q:
+                    yield node[p], node[x], root[p], root[x]
+
+    def run(batches):
+        def out(t):
+            rows = []
+            for row in pairs(t) if t.num_rows else ():
+                rows.append(row)
+                if len(rows) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
+
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            ids = [t.column(c).to_numpy() for c in range(3)]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+            end = int(cut[-1]) if len(cut) else 0
+            yield from out(t.slice(0, end))
+            rest = t.slice(end)
+        if rest is not None:
+            yield from out(rest)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, node string, keys array<bigint>, samples array<int>")
+    found = part.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u string, v string, root string, lead_root string")
+    ordered = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "root", "lead_root")
+    return ordered.dropDuplicates(["u", "v"])
 
 
 def _verify(pairs: DataFrame, weights: shingles.Weights, threshold: float) -> DataFrame:
@@ -90,37 +155,44 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights = shingles.fit(docs)
     marked = common.materialize(fingerprints(docs, weights, bands, rows), "fingerprints")
-    nodes = marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"), F.any_value("samples").alias("samples"))
+    nodes = marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"), F.any_value("samples").alias("samples"), F.any_value("total").alias("total"))
     nodes = common.materialize(nodes, "nodes")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     shared = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key")
     buckets = common.materialize(shared.select("key", "node"), "buckets")
 
     settled = SETTLED * buckets.select("node").distinct().count()
-    roots, texts, tested, tried = None, None, None, 0
-    while True:
-        held = buckets.withColumn("root", F.col("node"))
-        if roots is not None:
-            held = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = AGREE * bands * rows / (BANDS * ROWS)
+    roots, texts, tested = None, None, None
+
+    def rooted():
+        if roots is None:
+            return buckets.withColumn("root", F.col("node"))
+        return buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def stars(tried):
+        held = rooted()
         # Which member stands for its component in a bucket changes with bucket and round: a link to any of them is met sooner or later.
         members = held.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(tried)), "node"))["node"].alias("node"))
         pick = F.min if tried % 2 == 0 else F.max
         leaders = members.groupBy("key").agg(pick(F.struct("root", "node")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "x.root", "x.node")
         leaders = leaders.select("key", F.col("root").alias("lead_root"), F.col("node").alias("v"))
         pairs = members.join(leaders, "key").filter("root <> lead_root").select(F.col("node").alias("u"), "v", "root", "lead_root").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
         of_u = nodes.select(F.col("node").alias("u"), F.col("samples").alias("su"))
         of_v = nodes.select(F.col("node").alias("v"), F.col("samples").alias("sv"))
         alike = F.size(F.filter(F.arrays_zip("su", "sv"), lambda x: x["su"] == x["sv"]))
-        pairs = pairs.join(of_u, "u").join(of_v, "v").filter(alike >= AGREE * bands * rows / (BANDS * ROWS))
+        return pairs.join(of_u, "u").join(of_v, "v").filter(alike >= least)
+
+    def link(pairs):
+        """Verifies those of the pairs that weren't tested before and joins the components of those that pass; their number."""
+        nonlocal roots, texts, tested
+        if tested is not None:
+            pairs = pairs.join(tested, (F.least("u", "v") == F.col("tested_u")) & (F.greatest("u", "v") == F.col("tested_v")), "left_anti")
         pairs = common.materialize(pairs.select("u", "v", "root", "lead_root"), "pairs")
-        tried += 1
         if pairs.isEmpty():
-            if tried >= LEAST_ROUNDS:
-                break
-            continue
-        tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
+            return 0
+        now = pairs.select(F.least("u", "v").alias("tested_u"), F.greatest("u", "v").alias("tested_v"))
+        tested = now if tested is None else tested.unionByName(now)
         wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         if texts is not None:
             wanted = wanted.join(texts.select("node"), "node", "left_anti")
@@ -131,9 +203,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         new = common.materialize(_verify(joined, weights, threshold), "links")
         n_new = new.count()
         if n_new == 0:
-            if tried >= LEAST_ROUNDS:
-                break
-            continue
+            return 0
         # Components of components: the links between roots are few after the first round.
         merged = graph.components(new.select(F.col("root").alias("u"), F.col("lead_root").alias("v")))
         merged = merged.select(F.col("node").alias("old"), F.col("root").alias("to"))
@@ -144,8 +214,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
             fresh = merged.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("to").alias("root"))
             roots = moved.unionByName(fresh)
         roots = common.materialize(roots, "roots")
-        if tried >= LEAST_ROUNDS and n_new <= settled:
-            break
+        return n_new
+
+    tried, n_new = 0, 0
+    while tried < LEAST_ROUNDS or n_new > settled:
+        n_new = link(stars(tried))
+        tried += 1
+    # Rounds only make the rest small; what they leave is compared exhaustively, after the likeliest pairs have joined what they can.
+    while link(_candidates(rooted(), nodes, least, threshold, thin=True)) > settled:
+        pass
+    link(_candidates(rooted(), nodes, least, threshold, thin=False))
 
     held = nodes.select("node", "rep", "n", F.col("node").alias("root"))
     if roots is not None:

@@ -277,6 +277,37 @@ def test_classes_against_brute_force(spark):
     assert neardup.classes(documents(spark, [])).count() == 0
 
 
+def linked(docs, bands=neardup.BANDS, rows=neardup.ROWS):
+    """Classes by all pairs that share a bucket, agree often enough and reach the threshold, found by brute force."""
+    weights, class_of, buckets = shingles.fit(docs), {}, {}
+    marks = {r.doc_id: r for r in neardup.fingerprints(docs, weights, bands, rows).collect()}
+    bags = {r.doc_id: weights.bag(r.text) for r in docs.select("doc_id", "text").collect()}
+    for i, m in marks.items():
+        class_of[i] = i
+        for k in m["keys"]:
+            buckets.setdefault(k, []).append(i)
+    for a, b in sorted({p for ids in buckets.values() for p in itertools.combinations(sorted(ids), 2)}):
+        x, y = class_of[a], class_of[b]
+        agree = sum(map(int.__eq__, marks[a]["samples"], marks[b]["samples"]))
+        if x != y and agree >= neardup.AGREE * bands * rows / 30 and shingles.similarity(bags[a], bags[b]) >= neardup.THRESHOLD:
+            class_of = {i: min(x, y) if c in (x, y) else c for i, c in class_of.items()}
+    return class_of
+
+
+def test_few_links_in_a_round_end_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SETTLED", 1.0)  # as in a large corpus, whose late rounds link less than the share
+    monkeypatch.setattr(neardup, "LEAST_ROUNDS", 1)
+    rng, rows = random.Random(5), []
+    for family in range(3):
+        words = prose(900 + family, 150).split()
+        for step in range(15):
+            rows.append((100 * family + step, " ".join(words), "s"))
+            at = rng.randrange(140)
+            words = words[:at] + prose(rng.random(), 9, "").split() + words[at + 9 :]
+    docs = documents(spark, rows)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs, bands=2).collect()} == linked(docs, bands=2)
+
+
 # 6. URLs
 
 
