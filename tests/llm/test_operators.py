@@ -308,6 +308,17 @@ def test_few_links_in_a_round_end_nothing(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.classes(docs, bands=2).collect()} == linked(docs, bands=2)
 
 
+def test_components_between_the_ends_of_a_bucket_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7, raising=False)
+    template, rows = prose(7000, 220).split(), [(5000 + i, prose(8000 + i, 7), "s") for i in range(700)]
+    for i in range(15):
+        own = prose(7100 + i, 60).split()
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(template + own[: 60 - 8 * k] + prose(7200 + i, 8 * k).split()), "s"))
+    docs = documents(spark, rows)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs, bands=1, rows=1).collect()} == linked(docs, 1, 1)
+
+
 # 6. URLs
 
 
