@@ -45,6 +45,19 @@ def cooccurrence(spark, sf_dir):
     return graph.cooccurrence(_long(spark, sf_dir).filter(F.length("canonical") >= 14))
 
 
+# The operators over the real entities of all lengths; the queries with SQL above run on long words, so that both engines agree.
+@register("entity_cooccurrence")
+def entity_cooccurrence(spark, sf_dir):
+    return graph.cooccurrence(graph.entities(chunks(spark, sf_dir)))
+
+
+@register("entity_edges")
+def entity_edges(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    ents = graph.entities(c)
+    return graph.edges(ents, graph.relations(c, ents))
+
+
 @register("relations")
 def relations(spark, sf_dir):
     c = chunks(spark, sf_dir)

@@ -224,3 +224,30 @@ def test_streaming_equals_batch(spark, tmp_path):
 def test_content_tokens_fall_back(spark):
     r = frame(spark, ["the of", "cat the"]).select(tx.content_tokens(F.col("text"), tx.STOP_PROFILE).alias("t")).collect()
     assert [x.t for x in r] == [["the", "of"], ["cat"]]
+
+
+def test_entity_queries_count_every_entity(spark, tmp_path):
+    from collections import Counter
+    from itertools import combinations, permutations
+
+    from tessera.plans import catalog
+
+    body = "we met Ada Lovelace and Rome there. So Ada Lovelace has Rome now, says Charles Babbage. "
+    texts = [body * 20, words(150, 3), "the Rome of Paris " * 60]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    run = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("entities", "relations", "entity_cooccurrence", "entity_edges")}
+    of, related, pairs, weights = {}, {}, Counter(), Counter()
+    for r in run["entities"]:
+        of.setdefault((r.doc_id, r.idx), set()).add(r.canonical)
+    for r in run["relations"]:
+        related.setdefault((r.doc_id, r.idx), set()).add((r.subject.lower(), r.object.lower()))
+    for found in of.values():
+        pairs.update(permutations(found, 2))
+    for kind in (of, related):
+        for a, b in combinations(sorted(kind), 2):
+            if a[0] == b[0] and kind[a] & kind[b]:
+                weights[a[0], a[1], b[1]] += len(kind[a] & kind[b])
+    assert {(r.a, r.b): r.cnt for r in run["entity_cooccurrence"]} == pairs and any(len(a) < 14 for a, _ in pairs)
+    assert {(r.doc_id, r.source, r.target): r.weight for r in run["entity_edges"]} == weights
+    assert any("relation_bridge" in r.types for r in run["entity_edges"])
