@@ -36,7 +36,7 @@ WORDS = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    masks: tuple[str, ...] = ("111101111", "110110110111", "1101011001011", "111001110111")
+    masks: tuple[str, ...] = ("111101111", "110110110111", "1101011001011", "111001110111", "1110111", "1101011", "11011011", "111111")
     min_words: int = 10
     min_identity: float = 0.75
     penalty: float = 2.0

@@ -134,10 +134,19 @@ def test_overlap_against_brute_force():
         a, b, n = max(((i, j, int(match[i:j].sum())) for i, j in itertools.combinations(range(31), 2)), key=lambda x: x[2] - s.penalty * (x[1] - x[0] - x[2]))
         if trial < 6:
             assert found and found[0][1] >= s.min_words
+        assert bool(found) == (n >= s.min_words and n >= s.min_identity * (b - a))
         if found:
             assert found[0][1] <= 30 and found[0][2] >= s.min_identity
 
 
+@pytest.mark.parametrize("n", [30, 60, 200])
+def test_copy_with_every_fourth_word_substituted_is_found(n):
+    item = [f"w{i}" for i in range(n)]
+    index = decontaminate.SeedIndex([(7, " ".join(item))])
+    for phase in range(4):
+        assert dict(index.scan([" ".join("other" if i % 4 == phase else w for i, w in enumerate(item))]))
+
+
 # 4. Toxicity
 
 
