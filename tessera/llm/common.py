@@ -18,24 +18,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; where that is unset
-    (a local session, as in tests) a fresh temporary folder is set and used."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; where that is unset a local session
+    (as in tests) gets a fresh temporary folder, and a cluster's an error, since its machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage's rows to the shared folder and read them back: the lineage is cut there, and a lost executor
-    costs the running tasks only."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage's rows to the shared folder and read them back: the lineage is cut there, and a lost executor
+    costs the running tasks only."""
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """materialize for tables that only the steps inside a `with` block read; they are deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self.paths.append(path)
+        return out
+
+    def __exit__(self, *error) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
 
 
 def words_in(text: Column) -> Column:

@@ -1,13 +1,15 @@
 """Word shingles, their corpus weights, and improved consistent weighted sampling.
 
 A shingle is five successive words (lower-cased, split at the six ASCII white-space characters), as a 64-bit hash; a text of one to four words is one
-shingle. Its weight in a document is tf * idf, where idf(df) = ln(1 + N / max(df, c)) / ln(1 + N / c) with c = max(10, N / 20):
-1 up to a document frequency of c, and falling for the boilerplate above. So only shingles in more than N / 20 documents need
-a stored frequency, and there are at most 20 times as many of those as shingles in a mean document, whatever the corpus' size.
-
-They are found exactly in two passes. First, chunks of documents count their own shingles and report those in at least 1/80 of
-the chunk's documents; what a chunk doesn't report sums to less than N / 80, so every frequent shingle reaches N / 20 - N / 80
-in the reported sums, and at most 27 mean documents' worth of shingles do. Second, all documents count those.
+shingle. Its weight in a document is tf * idf, where idf(df) = ln(1 + N / max(df, c)) / ln(1 + N / c) with c = max(FLOOR, N * SHARE):
+1 up to a document frequency of c, and falling above, so that passages which many unlike documents share count less than a
+document's own words. N and df count documents that have the same least shingle (by a second hash) once: copies of a text mostly
+agree in it, so thousands of copies don't make their own words look like boilerplate, nor their few edits look weighty.
+
+Only shingles above c need a stored frequency, and there are at most 1 / SHARE times as many of those as shingles in a mean
+document, whatever the corpus' size. They are found exactly in two passes over all documents. First, every task counts its
+shingles in 2^SLOT_BITS slots; the sums over all tasks are no less than the frequency of any shingle in the slot, so only shingles
+in slots above c can be frequent. Second, the distinct pairs of such a shingle and its documents' least shingle are counted.
 """
 
 from __future__ import annotations
@@ -16,13 +18,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WORDS = 5
-SHARE, SLACK, FLOOR = 1 / 20, 1 / 80, 10
+SHARE, FLOOR = 1 / 200, 10
 CHUNK = 1_000_000
-SLOT_BITS = 18
+SLOT_BITS, RANGE_BITS = 20, 14
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -95,11 +100,14 @@ def shingle_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return h
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    """Which slots, by their leading bits, hold a key: most other shingles are told apart by one look."""
-    out = np.zeros(1 << SLOT_BITS, bool)
-    out[(keys >> np.uint64(64 - SLOT_BITS)).view(np.int64)] = True
-    return out
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def least_shingle(shingles: np.ndarray) -> int:
+    """The least by a second hash: documents agree in it with the probability of their Jaccard similarity."""
+    h = (shingles ^ _Q) * _P
+    return int((h ^ (h >> np.uint64(29))).min().view(np.int64))
 
 
 class Weights:
@@ -109,6 +117,7 @@ class Weights:
         order = np.argsort(np.asarray(keys, np.uint64))
         self.keys, dfs = np.asarray(keys, np.uint64)[order], np.asarray(dfs, float)[order]
         c = max(FLOOR, n_docs * SHARE)
+        self.n_docs = n_docs
         self.idf = np.log1p(n_docs / np.maximum(dfs, c)) / math.log1p(n_docs / c) if n_docs else np.empty(0)
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
@@ -136,56 +145,88 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (float(wa.sum()) + float(wb.sum()) - shared)
 
 
+def _tally(batches):
+    """Counts of shingles in slots, packed by ranges of slots, and the documents' least shingles."""
+    counts, leasts, some, size = np.zeros(1 << SLOT_BITS, np.uint32), set(), [], 0
+
+    def add():
+        nonlocal some, size
+        np.add(counts, np.bincount(_slots(np.concatenate(some)), minlength=len(counts)).astype(np.uint32), out=counts)
+        some, size = [], 0
+
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            s = shingle_hashes(word_hashes(t))
+            if len(s):
+                leasts.add(least_shingle(s))
+                some.append(s)
+                size += len(s)
+                if size >= CHUNK:
+                    add()
+        if len(leasts) >= CHUNK:
+            yield _tallied([None], [None], [list(leasts)])
+            leasts.clear()
+    if some:
+        add()
+    pack = zstandard.ZstdCompressor(level=1).compress
+    ranges = counts.reshape(-1, 1 << RANGE_BITS)
+    full = np.flatnonzero(ranges.any(axis=1))
+    yield _tallied(full, [pack(ranges[i].tobytes()) for i in full], [None] * len(full))
+    yield _tallied([None], [None], [list(leasts)])
+
+
+def _tallied(ranges, counts, leasts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(counts, pa.binary()), pa.array(leasts, pa.list_(pa.int64()))], names=["range", "counts", "leasts"])
+
+
 def fit(docs: DataFrame) -> Weights:
     """Weights of the corpus docs(text)."""
     spark = docs.sparkSession
     texts = docs.select("text")
+    with common.Scratch(spark) as keep:
+        tallied = keep(texts.mapInArrow(_tally, "range int, counts binary, leasts array<bigint>"), "tallies")
+        n_docs = tallied.select(F.explode("leasts").alias("least")).distinct().count()
+        least = max(FLOOR, n_docs * SHARE)
+
+        def hot(batches):
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for r, packed in zip(*(c.to_pylist() for c in b.columns)):
+                    sums.setdefault(r, np.zeros(1 << RANGE_BITS, np.int64))
+                    sums[r] += np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint32)
+            for r, n in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array((r << RANGE_BITS) + np.flatnonzero(n > least), pa.int64())], names=["slot"])
+
+        # At most 2^SLOT_BITS slots, and no more than shingles of all documents by the least frequency.
+        slots = [r.slot for r in tallied.filter("range is not null").select("range", "counts").repartition("range").mapInArrow(hot, "slot bigint").collect()]
+    if not slots:
+        return Weights(n_docs)
+    maybe = np.zeros(1 << SLOT_BITS, bool)
+    maybe[slots] = True
+    held = spark.sparkContext.broadcast(maybe)
 
-    def report(batches):
-        bags, size = [], 0
+    def witness(batches):
+        found, size = [], 0
 
         def flush():
-            # A slot counts at least as often as any shingle in it occurs, so only those in well-filled slots need exact counts.
-            every, docs_in = np.concatenate(bags), len(bags)
-            slots = (every >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-            full = np.flatnonzero((np.bincount(slots, minlength=1 << SLOT_BITS) >= docs_in * SLACK)[slots])
-            owner = np.repeat(np.arange(docs_in), [len(x) for x in bags])[full]
-            found, number = np.unique(every[full], return_inverse=True)
-            pairs = np.unique(number * docs_in + owner)  # a document counts once
-            n = np.bincount(pairs // docs_in, minlength=len(found))
-            keep = n >= docs_in * SLACK
-            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
+            pairs = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["shingle", "least"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                bags.append(shingle_hashes(word_hashes(t)))
-                size += len(bags[-1])
-                if size >= CHUNK:
-                    yield flush()
-                    bags, size = [], 0
-        if bags:
+                every = shingle_hashes(word_hashes(t))
+                s = np.unique(every[held.value[_slots(every)]])
+                if len(s):
+                    found.append(np.column_stack((s.view(np.int64), np.full(len(s), least_shingle(every)))))
+                    size += len(s)
+                    if size >= CHUNK:
+                        yield flush()
+                        found, size = [], 0
+        if found:
             yield flush()
 
-    n_docs = texts.count()
-    least = max(FLOOR + 1, n_docs * SHARE)
-    sums = texts.mapInArrow(report, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    likely = np.array([r.shingle for r in sums.filter(F.col("n") >= least - n_docs * SLACK).select("shingle").collect()], np.int64).view(np.uint64)
-    if not len(likely):
-        return Weights(n_docs)
-    held = spark.sparkContext.broadcast(np.sort(likely))
-
-    def count(batches):
-        keys = held.value
-        total, maybe = np.zeros(len(keys), np.int64), _slots(keys)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingle_hashes(word_hashes(t))
-                s = np.unique(s[maybe[(s >> np.uint64(64 - SLOT_BITS)).view(np.int64)]])
-                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                total[at[keys[at] == s]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(keys[total > 0].view(np.int64)), pa.array(total[total > 0])], names=["shingle", "n"])
-
-    exact = texts.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()
+    pairs = texts.mapInArrow(witness, "shingle bigint, least bigint").distinct()
+    exact = pairs.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).collect()
     return Weights(n_docs, np.array([r.shingle for r in exact], np.int64).view(np.uint64), [r.n for r in exact])
 
 

@@ -232,12 +232,18 @@ def test_samples_agree_as_often_as_similarity():
 
 def test_shingle_frequencies_are_exact(spark):
     line = "this very common line stands in many of the documents here"
-    rows = [(i, (line + " " if i % 3 == 0 else "") + prose(i, 60), "a") for i in range(120)]
+    rows = [(i, (line + " " if i % 3 == 0 else "") + prose(i, 60), "a") for i in range(120)] + [(900 + i, prose(7, 60), "a") for i in range(40)] + [(990, None, "a"), (991, "", "a")]
     weights = shingles.fit(documents(spark, rows).repartition(5))
-    n = Counter(s for _, t, _ in rows for s in set(shingles.shingle_hashes(shingles.word_hashes(t)).tolist()))
-    want = sorted(k for k, v in n.items() if v > max(shingles.FLOOR + 1, len(rows) * shingles.SHARE))
-    assert weights.keys.tolist() == want and len(want) == 7
-    assert (weights.idf < 1).all()
+    bags = [shingles.shingle_hashes(shingles.word_hashes(t)) for _, t, _ in rows if t]
+    holders = {}
+    for s in bags:
+        for k in set(s.tolist()):
+            holders.setdefault(k, set()).add(shingles.least_shingle(s))  # copies count once
+    total = len({shingles.least_shingle(s) for s in bags})
+    want = {k: len(v) for k, v in holders.items() if len(v) > max(shingles.FLOOR, total * shingles.SHARE)}
+    assert weights.n_docs == total and weights.keys.tolist() == sorted(want) and len(want) == 7
+    c = max(shingles.FLOOR, total * shingles.SHARE)
+    assert weights.idf == pytest.approx([math.log1p(total / want[k]) / math.log1p(total / c) for k in sorted(want)])
 
 
 def brute_classes(rows, threshold=0.8):
@@ -283,10 +289,11 @@ def test_classes_against_brute_force(spark):
     kept = neardup.deduplicate(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert Counter(i for i in ids if i not in (1, 2, None)) == Counter(want.keys()) and ids.count(None) == 1 and kept.columns == docs.columns
+    assert ids.count(1) == 1 and ids.count(2) == 2
     assert neardup.classes(documents(spark, [])).count() == 0
 
 
-def linked(docs, bands=neardup.BANDS, rows=neardup.ROWS):
+def linked(docs, bands=neardup.BANDS, rows=neardup.ROWS, agree=neardup.AGREE):
     """Classes by all pairs that share a bucket, agree often enough and reach the threshold, found by brute force."""
     weights, class_of, buckets = shingles.fit(docs), {}, {}
     marks = {r.doc_id: r for r in neardup.fingerprints(docs, weights, bands, rows).collect()}
@@ -297,15 +304,13 @@ def linked(docs, bands=neardup.BANDS, rows=neardup.ROWS):
             buckets.setdefault(k, []).append(i)
     for a, b in sorted({p for ids in buckets.values() for p in itertools.combinations(sorted(ids), 2)}):
         x, y = class_of[a], class_of[b]
-        agree = sum(map(int.__eq__, marks[a]["samples"], marks[b]["samples"]))
-        if x != y and agree >= neardup.AGREE * bands * rows / 30 and shingles.similarity(bags[a], bags[b]) >= neardup.THRESHOLD:
+        same = sum(map(int.__eq__, marks[a]["samples"], marks[b]["samples"]))
+        if x != y and same >= agree * bands * rows and shingles.similarity(bags[a], bags[b]) >= neardup.THRESHOLD:
             class_of = {i: min(x, y) if c in (x, y) else c for i, c in class_of.items()}
     return class_of
 
 
-def test_few_links_in_a_round_end_nothing(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SETTLED", 1.0)  # as in a large corpus, whose late rounds link less than the share
-    monkeypatch.setattr(neardup, "LEAST_ROUNDS", 1)
+def test_chains_of_revisions_are_linked(spark):
     rng, rows = random.Random(5), []
     for family in range(3):
         words = prose(900 + family, 150).split()
@@ -314,11 +319,13 @@ def test_few_links_in_a_round_end_nothing(spark, monkeypatch):
             at = rng.randrange(140)
             words = words[:at] + prose(rng.random(), 9, "").split() + words[at + 9 :]
     docs = documents(spark, rows)
-    assert {r.doc_id: r.class_id for r in neardup.classes(docs, bands=2).collect()} == linked(docs, bands=2)
+    for agree in (neardup.AGREE, 0.0):
+        assert {r.doc_id: r.class_id for r in neardup.classes(docs, bands=2, agree=agree).collect()} == linked(docs, bands=2, agree=agree)
 
 
-def test_components_between_the_ends_of_a_bucket_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 7, raising=False)
+@pytest.mark.parametrize("block", [7, 1024])
+def test_every_pair_of_a_bucket_is_held_against_each_other(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     template, rows = prose(7000, 220).split(), [(5000 + i, prose(8000 + i, 7), "s") for i in range(700)]
     for i in range(15):
         own = prose(7100 + i, 60).split()
@@ -328,6 +335,63 @@ def test_components_between_the_ends_of_a_bucket_are_compared(spark, monkeypatch
     assert {r.doc_id: r.class_id for r in neardup.classes(docs, bands=1, rows=1).collect()} == linked(docs, 1, 1)
 
 
+def test_recall_among_texts_of_one_template(spark):
+    template, rows = prose(6000, 220).split(), []
+    for i in range(400):
+        own = prose(10_000 + i, 60).split()
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(template + own[: 60 - 4 * k] + prose(20_000 + i, 4 * k).split()), "s"))
+    rows += [(5000 + i, prose(30_000 + i, 20), "s") for i in range(7000)]  # so that the template isn't weighed down
+    docs = documents(spark, rows)
+    weights = shingles.fit(docs)
+    bags = [weights.bag(t) for i, t, _ in rows[:800]]
+    true = [i for i in range(0, 800, 2) if shingles.similarity(bags[i], bags[i + 1]) >= neardup.THRESHOLD]
+    unlike = max(shingles.similarity(bags[0], bags[i]) for i in range(2, 800))
+    assert len(true) == 400 and unlike < neardup.THRESHOLD
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert sum(got[i] == got[i + 1] for i in true) >= 0.99 * len(true)
+    assert all(got[i] in (i, i - 1) for i in range(800))
+
+
+def test_similarities_against_pairs():
+    rng = np.random.default_rng(4)
+    every = rng.integers(1, 1 << 63, 300, dtype=np.uint64)
+    idf = rng.random(300) + 0.1
+    for m in (2, 5, 60):
+        bags, plain = [], []
+        for _ in range(m):
+            at = np.sort(rng.choice(300, rng.integers(1, 200), replace=False))
+            at = at[np.argsort(every[at])]
+            tf = rng.integers(1, 5, len(at))
+            bags.append((every[at], tf, idf[at]))
+            plain.append((every[at], tf * idf[at]))
+        got = neardup.similarities(bags)
+        assert got == pytest.approx(np.array([[shingles.similarity(x, y) for y in plain] for x in plain]))
+
+
+def test_idf_changes_a_verdict(spark):
+    shared = prose(40, 204).split()
+    rows = [(i, " ".join(shared + prose(50_000 + i, 20).split()), "s") for i in range(150)]
+    some = documents(spark, [*rows[:2], *[(1000 + i, prose(60_000 + i, 60), "s") for i in range(150)]])
+    many = documents(spark, [*rows, *[(1000 + i, prose(60_000 + i, 60), "s") for i in range(150)]])
+    own = {d: shingles.fit(d) for d in (some, many)}
+    a, b = rows[0][1], rows[1][1]
+    assert shingles.similarity(own[some].bag(a), own[some].bag(b)) >= 0.8 > shingles.similarity(own[many].bag(a), own[many].bag(b))
+    classes = [{r.doc_id: r.class_id for r in neardup.classes(d).collect()} for d in (some, many)]
+    assert classes[0][1] == 0 and classes[1][1] == 1
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = prose(1, 100), prose(2, 100)
+    docs = documents(spark, [(5, a, "s"), (5, b, "s"), (6, a + " more", "s"), (7, b + " more", "s"), (8, prose(3, 100), "s"), (None, a, "s"), (None, prose(4, 100), "s")])
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.class_size) for r in neardup.classes(docs).collect())
+    assert got == [(-1, -1, 1), (-1, 5, 5), (5, 5, 5), (5, 5, 5), (6, 5, 5), (7, 5, 5), (8, 8, 1)]
+    kept = neardup.deduplicate(docs).collect()
+    assert sorted(r.doc_id or -1 for r in kept) == [-1, 5, 8]
+    renamed = docs.withColumn("_copies", F.lit(1)).withColumn("_kept_id", F.lit(2)).withColumn("class_id", F.lit(3)).withColumn("key", F.lit(4)).withColumn("n", F.lit(5))
+    assert neardup.deduplicate(renamed).columns == renamed.columns and neardup.deduplicate(renamed).count() == 3
+
+
 # 6. URLs
 
 
