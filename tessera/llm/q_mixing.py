@@ -11,7 +11,7 @@ def op2_mixing(spark, sf_dir):
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS draw_key, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -29,12 +29,17 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
      ELSE least(cap::DOUBLE, coalesce((SELECT level FROM final) * weight, cap::DOUBLE)) END AS target FROM levels
 ), rated AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets
+), drawn AS (
+  SELECT r.source, k.draw, CAST(sum(d.size * CAST(CAST('0x' || substr(md5(concat_ws('|', '7', CAST(k.draw AS VARCHAR), d.draw_key)), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < r.rate - floor(r.rate) AS INTEGER)) AS BIGINT) AS words
+  FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(64)) AS draw) k GROUP BY r.source, k.draw
+), nearest AS (
+  SELECT r.source, arg_min(w.draw, (abs(w.words - (r.target - floor(r.rate) * r.source_size)), w.draw)) AS draw
+  FROM drawn w JOIN rated r ON w.source IS NOT DISTINCT FROM r.source GROUP BY r.source
 ), copied AS (
-  SELECT *, CAST(floor(rate) AS INTEGER)
-     + CAST(CAST('0x' || substr(md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR))), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) AS INTEGER) AS copies
-  FROM rated
+  SELECT d.doc_id, d.size, r.source_size, r.target, CAST(floor(r.rate) AS INTEGER)
+     + CAST(CAST('0x' || substr(md5(concat_ws('|', '7', CAST(n.draw AS VARCHAR), d.draw_key)), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < r.rate - floor(r.rate) AS INTEGER) AS copies
+  FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source JOIN nearest n ON n.source IS NOT DISTINCT FROM d.source
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied
 """

@@ -92,11 +92,28 @@ def test_mix(spark):
         assert r.taken <= 3 * r.size and r.copies in (math.floor(r.rate), math.floor(r.rate) + 1)
     for source in ("s0", "s1", "s2"):
         own = [r for r in planned if r.source == source]
-        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.2
+        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.005
     assert mixing.mix(docs).count() == sum(r.copies for r in planned)
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_long_texts_dont_spoil_the_targets(spark):
+    rows = [(i, "w " * random.Random(i).choice((20, 50, 100, 5000)), f"s{i % 3}") for i in range(150)] + [(None, "a b c", "s1"), (None, "d e", "s1")]
+    docs = documents(spark, rows).withColumn("_source", F.lit("x")).withColumn("draw", F.lit(1)).withColumn("of", F.lit(2))
+    planned = mixing.copies(docs).collect()
+    assert mixing.mix(docs).columns == [*docs.columns, "copy_index"]
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in planned if r.source == source]
+        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.05
+    # Every document's extra copy is a Bernoulli draw by the hash of the draw that comes nearest.
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in planned if r.source == source]
+        share, rest = own[0].rate % 1, own[0].target - math.floor(own[0].rate) * own[0].source_size
+        draw = lambda k, r: int(hashlib.md5(f"7|{k}|{r.doc_id if r.doc_id is not None else hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52 < share
+        best = min(range(mixing.DRAWS), key=lambda k: (abs(sum(r.size * draw(k, r) for r in own) - rest), k))
+        assert all(r.copies == math.floor(r.rate) + draw(best, r) for r in own)
+
+
 # 3. Decontamination
 
 
