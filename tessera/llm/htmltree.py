@@ -1,6 +1,7 @@
 """A forgiving HTML reader: block elements become tree nodes, runs of inline text between their borders become leaves.
 
-Scripts, styles, comments, titles and other raw elements are skipped; end tags that may be left out are implied; end tags that
+Scripts, styles, comments, titles, text areas and frames are skipped; what other elements hold is read, formulas, drawings' labels and
+fall-back texts too; end tags that may be left out are implied; end tags that
 close nothing are ignored; a page that breaks off is closed at its end. Character references are decoded in texts, and white
 space inside a leaf becomes one space. The reader keeps one position and never looks at a character more than a few times.
 """
@@ -14,7 +15,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style title textarea noscript template svg math iframe object canvas audio video noframes noembed xmp".split())
+#: Elements whose content is not markup, or never shown.
+RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BREAKS = frozenset(("hr",))
 SPACES = frozenset(("br", "wbr", "img", "input"))
@@ -125,6 +127,8 @@ def read(page: str | None) -> Node:
         if tag in RAW:
             if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if tag == "xmp":  # shown as it stands
+                    pieces.append(page[at : stop.start() if stop else n])
                 at = stop.end() if stop else n
             continue
         if tag in BLOCKS:
