@@ -6,12 +6,13 @@ into pieces (characters that are no piece are spelled in byte pieces); the forwa
 all of them. Pieces never cross words, so a text's log-probability is the sum over its words plus the end piece.
 
 The weights are refitted to the training texts by expectation-maximisation: forward and backward recursions over every distinct
-word, times its count, give expected piece counts; a share `prior` of the existing weights is mixed in.
+word, times its count, give expected piece counts; the existing weights keep a share `prior` of the refitted ones. score is the
+lattice's log-probability under these weights.
 
-Words of the training texts are arcs as well, from the front of a word to its end. With counts c, N tokens and V distinct ones, such
-an arc weighs (c - D) / N, and the lattice of pieces gets the mass D * V / N that this leaves (absolute discounting, D from the
-counts of ones and twos). The pieces alone, 32k weights however large the corpus, can't tell a frequent word from a rare one of
-the same pieces; piece_score is what they give by themselves.
+word_arc_score, beside it, is a lattice in which words of the training texts are arcs as well, from the front of a word to its end:
+with counts c, N tokens and V distinct ones, such an arc weighs (c - D) / N, and the lattice of pieces gets the mass D * V / N that
+this leaves (absolute discounting, D from the counts of ones and twos). What it gathers grows with the corpus, while the pieces' 32k
+weights can't tell a frequent word from a rare one of the same pieces.
 
 Distribution: texts are coded once into chunks of about CHUNK_TOKENS tokens, each with its own list of distinct words. Only
 (chunk, word) rows are shuffled, never single tokens: counted by word, joined with every word's count and likelihood, and brought
@@ -35,7 +36,7 @@ from . import common
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_TOKENS = 5_000_000
 FRONT = "▁"
-ROUNDS, PRIOR = 2, 1e-3
+ROUNDS, PRIOR = 2, 0.1
 WORDS_AT_ONCE = 20_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -252,10 +253,11 @@ def refit(counts: DataFrame, vocabulary: Vocabulary, p: np.ndarray, n_ends: int,
 
 
 def score(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, prior: float = PRIOR, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, base_score, score, piece_score, train_tokens, train_types.
+    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, base_score, score, word_arc_score, train_tokens, train_types.
 
-    Every text counts its words and one end. base_score is the add-one word model's log10 probability, score the lattice model's,
-    piece_score that of the lattice without words as arcs; all learn from the documents where held_out is false.
+    Every text counts its words and one end. base_score is the add-one word model's log10 probability, score the lattice's of pieces,
+    word_arc_score that of the lattice with words as arcs; all learn from the documents where held_out is false. rounds=0 keeps
+    the existing weights.
 
     Defined results: null and empty texts are their end alone; repeated rows and ids are each scored; with nothing to learn from
     the existing weights score; an empty table gives an empty result; other columns are ignored. Texts are read whole."""
@@ -302,12 +304,12 @@ def score(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int =
             known = np.bincount(doc, (c > 0)[codes], k).astype(np.int64) + (end_c > 0)
             mine = (np.bincount(doc, with_words(c, lp)[codes], k) + float(with_words(np.array(end_c), end_lp))) / math.log(10)
             alone = (np.bincount(doc, lp[codes], k) + end_lp) / math.log(10)
-            parts.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(mine), "piece_score": pa.array(alone)}))
+            parts.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(alone), "word_arc_score": pa.array(mine)}))
         return pa.concat_tables(parts) if parts else FINAL.empty_table()
 
     sides = chunks.select("chunk", "doc_ids", "held_out", "sizes", "codes").groupBy("chunk").cogroup(values.groupBy("of_chunk"))
-    done = sides.applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, piece_score double")
+    done = sides.applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, word_arc_score double")
     return done.withColumns({"train_tokens": F.lit(total).cast("long"), "train_types": F.lit(types).cast("long")})
 
 
-FINAL = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("piece_score", pa.float64())])
+FINAL = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("word_arc_score", pa.float64())])

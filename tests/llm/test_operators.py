@@ -521,6 +521,16 @@ def test_extraction_of_a_page(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def test_formulas_fall_backs_and_odd_elements_stay(spark):
+    body = "<p>The formula <math><mi>x</mi><mo>=</mo>2</math> holds for all of the values, as the text says.</p><noscript><p>Shown without scripts, this paragraph is a part of the article.</p></noscript><p>An <object>object's fall-back words</object> and <svg><text>a label</text></svg> end <xmp>a<b</xmp> it.</p><template><p>A template's paragraph stands here, long enough.</p></template>"
+    page = f'<html><head><title>t</title></head><body><nav class="menu"><a href="/">Home</a></nav><article>{body}<textarea>typed</textarea><iframe>no frames</iframe></article></body></html>'
+    df = spark.createDataFrame([(1, page, 7, "u")], "page_id bigint, html string, n_chars int, text string")
+    r = extraction.extract(df).first()
+    for words in ("The formula x=2 holds", "Shown without scripts", "object's fall-back words", "a label", "a<b", "A template's paragraph"):
+        assert words in r.text
+    assert "typed" not in r.text and "no frames" not in r.text and "Home" not in r.text and r.n_chars == len(r.text)
+
+
 def test_marginals_against_enumeration():
     model = htmlmodel.TreeModel(pages=60)
     for page in ("<div class=ad>x</div><article><h1>t</h1><p>some text.</p></article>", "<body><ul><li><a>q</a></li></ul><p>Long text here, with words.</p></body>"):
@@ -613,10 +623,48 @@ def test_scores_against_brute_force(spark):
         want = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         r = by_id[i][0]
         assert r.base_score == pytest.approx(want) and r.n_tokens == len(w) + 1 and r.train_tokens == n
-        assert r.n_known == sum(counts[x] > 0 for x in w) + 1 and r.score < 0 and math.isfinite(r.score)
+        assert r.n_known == sum(counts[x] > 0 for x in w) + 1 and r.score < 0 and math.isfinite(r.score) and math.isfinite(r.word_arc_score)
     assert lattice.score(documents(spark, []), F.lit(False)).count() == 0
 
 
+def segmentations(v, p, word):
+    """Sum of the probabilities of all segmentations of a word."""
+    pieces = {v.pieces[i]: i for i in v.ids}
+    ways = [1.0] + [0.0] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            if word[start:end] in pieces:
+                ways[end] += ways[start] * p[pieces[word[start:end]]]
+        if word[end - 1] not in pieces:
+            ways[end] += ways[end - 1] * math.prod(p[v.BYTES + b] for b in word[end - 1].encode())
+    return ways[-1]
+
+
+def test_scores_are_the_mass_of_all_segmentations(spark):
+    v = lattice.Vocabulary.load()
+    rows = [(i, prose(i % 9, 20) + " \u00e9t\u00e9 \u0436\U0001d518x", "a") for i in range(12)] + [(90, "Unlikely THE", "a"), (91, None, "a"), (91, None, "a"), (92, "a" * 5000, "a")]
+    docs = documents(spark, rows).withColumn("chunk", F.lit(1)).withColumn("word", F.lit("x"))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = {r.doc_id: r.score for r in lattice.score(docs, F.col("doc_id") == 3, rounds=0, chunk_tokens=50).collect()}
+    for i, t, _ in rows:
+        if i != 92:
+            want = math.log10(v.zipf[v.END]) + sum(math.log10(segmentations(v, v.zipf, "\u2581" + w)) for w in (t or "").translate(lower).split())
+            assert plain[i] == pytest.approx(want)
+    assert math.isfinite(plain[92])
+    # A round of expectation-maximisation with the existing weights kept by a tenth.
+    counts = Counter(w for i, t, _ in rows[:3] for w in t.translate(lower).split())
+    model, into = lattice.Lattice(v), np.zeros(len(v.pieces))
+    names = list(counts)
+    for places, codes in model.by_length(names):
+        model.expected(codes, np.array([float(counts[names[k]]) for k in places]), into)
+    into[v.END] = 3
+    p = 0.9 * into / into.sum() + 0.1 * v.zipf
+    some = docs.filter("doc_id < 4")
+    got = {r.doc_id: r.score for r in lattice.score(some, F.col("doc_id") == 3, rounds=1, prior=0.1).collect()}
+    for i, t, _ in rows[:4]:
+        assert got[i] == pytest.approx(math.log10(p[v.END]) + sum(math.log10(segmentations(v, p, "\u2581" + w)) for w in t.translate(lower).split()))
+
+
 # Shared
 
 
