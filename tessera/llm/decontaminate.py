@@ -6,12 +6,13 @@ positions of all benchmark items form a hash table; every position of every docu
 each hit, item and document are compared along the same offset, and the best-scoring segment (a match +1, a substitution
 -`penalty`) must hold `min_words` matching words with a share of at least `min_identity`.
 
-The benchmark is the bounded side: blocks of about BLOCK_WORDS words are hashed in turn and sent to the executors, and every block
-is held against all documents, so a benchmark of any size is covered exactly. Documents are scanned where they lie: no shuffle,
-memory bounded by an Arrow batch, and a hot passage costs its documents' own comparisons only.
+The benchmark is the bounded side: blocks of about BLOCK_WORDS words are hashed and sent to the executors one after the other, and
+every block is held against all documents, so a benchmark of any size is covered exactly. Where there are several, a block's
+results are written to the shared folder before the next is built, so that driver and executors hold one at a time. Documents are
+scanned where they lie: no shuffle, memory bounded by an Arrow batch, and a hot passage costs its documents' own comparisons only.
 
-Items shorter than the shortest mask are compared as a whole with an exact mask of their own length; items of fewer than
-`SHORTEST` words are too common to tell anything and find nothing.
+Items shorter than the shortest mask are compared as a whole with an exact mask of their own length. Items of fewer than
+`shortest` words are too common inside other texts to tell anything: they are found where a whole line of a document has their words.
 
 Defined results: null and empty texts and items never overlap; repeated rows and ids give their own rows; an empty benchmark
 leaves everything alone; an empty table gives an empty result. Columns named like the added ones are replaced.
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 BLOCK_WORDS = 1_000_000
-SHORTEST = 6
 TOKENS_AT_ONCE = 250_000
 WORDS = re.compile(r"[^\W_]+")
 
@@ -40,6 +42,7 @@ class Settings:
     min_words: int = 10
     min_identity: float = 0.75
     penalty: float = 2.0
+    shortest: int = 6
 
 
 def words(text: str | None) -> list[str]:
@@ -64,14 +67,14 @@ class SeedIndex:
         self.items = [(i, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(t)], np.int64)) for i, t in items]
         rng = np.random.default_rng(11)
         shortest = min(map(len, settings.masks))
-        own = sorted({len(w) for _, w in self.items if SHORTEST <= len(w) < shortest})
+        own = sorted({len(w) for _, w in self.items if settings.shortest <= len(w) < shortest})
         self.offsets = [np.flatnonzero(np.array(list(m)) == "1") for m in (*settings.masks, *("1" * n for n in own))]
         self.spans = [len(m) for m in settings.masks] + own
         self.factors = [rng.integers(1, 1 << 62, len(o), dtype=np.int64) | 1 for o in self.offsets]
         keys, where = [], []
         for k, span in enumerate(self.spans):
             for j, (_, ids) in enumerate(self.items):
-                if len(ids) < span or len(ids) < SHORTEST or (k >= len(settings.masks) and len(ids) != span):
+                if len(ids) < span or len(ids) < settings.shortest or (k >= len(settings.masks) and len(ids) != span):
                     continue
                 h = self.hashes(ids, k)
                 keys.append(h)
@@ -79,6 +82,10 @@ class SeedIndex:
         self.keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.where = self.keys[order], (np.concatenate(where)[order] if where else np.empty((0, 2), np.int64))
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for j, (_, t) in enumerate(items):
+            if 0 < len(own_words := tuple(words(t))) < settings.shortest:
+                self.short.setdefault(own_words, []).append(j)
         self.bits = int(np.clip(np.ceil(np.log2(64 * max(1, len(self.keys)))), 10, 24))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self._slot(self.keys)] = True
@@ -102,9 +109,25 @@ class SeedIndex:
             chunk.append([get(w, 0) for w in words(t)])
             size += len(chunk[-1])
             if size > TOKENS_AT_ONCE or i == len(texts) - 1:
-                yield from self._scan(chunk, first)
+                found = dict(self._scan(chunk, first))
+                if self.short:
+                    for k in range(first, i + 1):
+                        for row in self._short_lines(texts[k]):
+                            found.setdefault(k, []).append(row)
+                yield from sorted(found.items())
                 chunk, size, first = [], 0, i + 1
 
+    def _short_lines(self, text: str | None):
+        """Overlaps of whole lines with short items, the first line of each."""
+        at, seen = 0, set()
+        for line in (text or "").split("\n"):
+            own = words(line)
+            for j in self.short.get(tuple(own), ()) if len(own) < self.settings.shortest else ():
+                if j not in seen:
+                    seen.add(j)
+                    yield j, len(own), 1.0, at, at + len(own), 0, len(own)
+            at += len(own)
+
     def _scan(self, chunk: list[list[int]], first: int):
         gap = max(self.spans, default=0)
         lengths = np.array([len(x) for x in chunk])
@@ -112,7 +135,7 @@ class SeedIndex:
         ids = np.zeros(int((lengths + gap).sum()), np.int64)
         for s, x in zip(starts, chunk):
             ids[s : s + len(x)] = x
-        diagonals = set()
+        diagonals = [np.empty((0, 3), np.int64)]
         for k in range(len(self.spans)):
             if len(ids) < self.spans[k]:
                 continue
@@ -120,13 +143,14 @@ class SeedIndex:
             hit = np.flatnonzero(self.maybe[self._slot(h)])
             left, right = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
             real = right > left
-            for p, a, b in zip(hit[real], left[real], right[real]):
-                d = int(np.searchsorted(starts, p, "right")) - 1
-                for j, q in self.where[a:b]:
-                    diagonals.add((d, int(j), int(p - starts[d] - q)))
+            p, a, n = hit[real], left[real], (right - left)[real]
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else a
+            p = np.repeat(p, n)
+            d = np.searchsorted(starts, p, "right") - 1
+            diagonals.append(np.unique(np.column_stack((d, self.where[at, 0], p - starts[d] - self.where[at, 1])), axis=0))
         found: dict[int, dict[int, tuple]] = {}
         s = self.settings
-        for d, j, shift in sorted(diagonals):
+        for d, j, shift in np.unique(np.concatenate(diagonals), axis=0).tolist():
             doc, item = ids[starts[d] : starts[d] + lengths[d]], self.items[j][1]
             lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
             if hi <= lo:
@@ -143,13 +167,16 @@ class SeedIndex:
 
 
 def blocks(benchmark: DataFrame, settings: Settings = Settings(), block_words: int = BLOCK_WORDS):
-    """Broadcast indexes of the benchmark's blocks, one after the other. benchmark(item_id, text)."""
+    """(index, whether it is the last) of the benchmark's blocks, one after the other; an index is broadcast. benchmark(item_id, text)."""
     kept = benchmark.select("item_id", "text").filter(F.length("text") > 0)
     chars = kept.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // (6 * block_words)))
-    for k in range(n if chars else 0):
+    n = -(-chars // (6 * block_words))
+    for k in range(n):
         rows = kept.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(SeedIndex(sorted((r.item_id, r.text) for r in rows), settings))
+        held = benchmark.sparkSession.sparkContext.broadcast(SeedIndex(sorted((r.item_id, r.text) for r in rows), settings))
+        yield held, k == n - 1
+        if k < n - 1:  # its results are written
+            held.unpersist()
 
 
 OVERLAP = "item_id bigint, matched_words int, identity double, doc_start int, doc_end int, item_start int, item_end int"
@@ -173,10 +200,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
 
         return run
 
-    parts = [base.mapInArrow(finder(held), out) for held in blocks(benchmark, settings, block_words)]
     result = spark.createDataFrame([], out)
-    for k, p in enumerate(parts):
-        result = p if k == 0 else result.unionByName(p)
+    for held, last in blocks(benchmark, settings, block_words):
+        part = base.mapInArrow(finder(held), out)
+        result = result.unionByName(part if last else common.materialize(part, "overlaps"))
     return result
 
 
@@ -194,6 +221,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
         return run
 
     at = docs.columns.index("text")
-    for held in blocks(benchmark, settings, block_words):
+    for held, last in blocks(benchmark, settings, block_words):
         docs = docs.mapInArrow(keeper(held, at), docs.schema)
+        docs = docs if last else common.materialize(docs, "decontaminated")
     return docs
