@@ -21,7 +21,7 @@ STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~…“”„‘’
 
 
 def normalize(word: str) -> str:
-    return word.lower().strip(STRIP) or word[:8]
+    return word.lower().strip(STRIP) or word
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ def op4_toxicity(spark, sf_dir):
     labels = common.table(spark, sf_dir, "labels")
     net = toxicity.fit(docs, labels.filter(common.crc_mod(F.col("doc_id"), FOLDS) != 0))
     scored = toxicity.score(docs, net)
-    return scored.select("doc_id", (common.crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(common.crc_mod(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES = {"op4_toxicity": op4_toxicity}

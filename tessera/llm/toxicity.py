@@ -1,10 +1,10 @@
 """Toxicity of whole texts: every overlapping window is scored by a bidirectional recurrent network, a text by its worst windows.
 
-Learning uses a bounded sample of labelled documents: of each label the `SAMPLE` with the smallest hashes, and of each at most
-`SAMPLE_WINDOWS` windows, chosen by hash. The model (some 1.6 MB) is trained by the driver and sent to the executors. Scoring
-covers every window of every text and moves no data.
+Learning uses a bounded sample of labelled documents: of each label the `SAMPLE` with the smallest hashes, with all of their
+windows. The model (some 1.6 MB) is trained by the driver and sent to the executors. Scoring covers every window of every text and
+moves no data.
 
-Defined results: null and empty texts, and all texts where no label of both kinds is known, score the share of toxic labels;
+Defined results: an id with both labels is toxic; of the texts of a repeated id the least one teaches; null and empty texts, and all texts where no label of both kinds is known, score the share of toxic labels;
 repeated rows and ids score alike; an empty table gives an empty result; columns named like the added ones are replaced.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,21 +19,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bigru
 
-SAMPLE, SAMPLE_WINDOWS = 1200, 32
+SAMPLE = 1200
 TOKENS_AT_ONCE, WINDOWS_AT_ONCE = 400_000, 2048
 
 
-def sample_windows(text: str | None, key: int, most: int = SAMPLE_WINDOWS) -> list[str]:
-    words = text.split() if text else []
-    starts = bigru.windows(len(words))
-    if len(starts) > most:
-        starts = sorted(starts, key=lambda s: xxhash.xxh3_64_intdigest(f"{key} {s}"))[:most]
-    return [" ".join(bigru.normalize(w) for w in words[s : s + bigru.WINDOW]) for s in starts]
+def text_windows(text: str | None) -> list[str]:
+    words = [bigru.normalize(w) for w in text.split()] if text else []
+    return [" ".join(words[s : s + bigru.WINDOW]) for s in bigru.windows(len(words))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_WINDOWS) -> bigru.BiGRU:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bigru.BiGRU:
     """labels(doc_id, toxic): those that may be learned from."""
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int")).dropDuplicates(["doc_id"])
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.xxhash64(F.lit(17), F.col("doc_id")))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -42,12 +38,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SA
     if not picked:
         return bigru.fit([], 0.0)
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id bigint, toxic int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def cut(batches):
         for b in batches:
             ids, text, toxic = (c.to_pylist() for c in b.columns)
-            parts = [sample_windows(t, i, most) for t, i in zip(text, ids)]
+            parts = [text_windows(t) for t in text]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.string())), pa.array(toxic, pa.int32())], names=["doc_id", "parts", "toxic"])
 
     rows = texts.mapInArrow(cut, "doc_id bigint, parts array<string>, toxic int").collect()

@@ -220,6 +220,43 @@ def test_gradients_by_differences():
         assert start == loss()
 
 
+def plain_score(net, text):
+    """The network read window by window and word by word."""
+    words = (text or "").split()
+    if not words:
+        return net.prior
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    vectors = {w: net.inputs([bigru.normalize(w)])[0].astype(float) for w in words}
+    logits = []
+    starts = list(range(0, max(1, len(words) - bigru.WINDOW + 1), bigru.STRIDE))
+    if len(words) > bigru.WINDOW and starts[-1] != len(words) - bigru.WINDOW:
+        starts.append(len(words) - bigru.WINDOW)
+    for s in starts:
+        x = [vectors[w] for w in words[s : s + bigru.WINDOW]]
+        states = []
+        for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, out, n = np.zeros(bigru.H), {}, bigru.H
+            for t in order:
+                gates, hu = x[t] @ net.p["W" + side] + net.p["b" + side], h @ net.p["U" + side]
+                z, r = sigmoid(gates[:n] + hu[:n]), sigmoid(gates[n : 2 * n] + hu[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(gates[2 * n :] + r * hu[2 * n :])
+                out[t] = h
+            states.append(out)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(x))]
+        weight = np.exp([net.p["va"] @ np.tanh(h @ net.p["Wa"] + net.p["ba"]) for h in both])
+        logits.append(float(sum(w * h for w, h in zip(weight / weight.sum(), both)) @ net.p["wo"] + net.p["bo"][0]))
+    top = sorted((max(-20, min(20, x)) for x in logits), reverse=True)
+    summary = [top[0], np.mean(top[:3]), np.mean(top[:8]), math.log2(len(top)), 1.0]
+    return sigmoid(np.dot(summary, net.head))
+
+
+def test_of_both_labels_an_id_is_toxic(spark):
+    rows = [(i, f"bad{i % 2} word", "a") for i in range(8)] + [(1, "other text", "a")]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(8)] + [(0, 1, 1), (0, 1, 0), (1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    nets = [toxicity.fit(documents(spark, r), lab) for r in (rows, rows[::-1])]
+    assert nets[0].prior == nets[1].prior == 5 / 8 and all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)
+
+
 def test_toxicity_learns_words_and_scores_everything(spark):
     bad = ["grobnik", "snarfel", "plutzer"]
     rng = random.Random(1)
@@ -237,6 +274,10 @@ def test_toxicity_learns_words_and_scores_everything(spark):
     docs = documents(spark, [*rows, *ODD])
     lab = spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1), (1000, 1, 1)], "doc_id bigint, quality int, toxic int")
     net = toxicity.fit(docs, lab.filter(common.crc_mod(F.col("doc_id"), 5) != 0))
+    again = toxicity.fit(docs.withColumn("toxic", F.lit("x")).repartition(5), lab.unionByName(lab).filter(common.crc_mod(F.col("doc_id"), 5) != 0))
+    assert all((net.p[k] == again.p[k]).all() for k in net.p)  # repeated labels and another partitioning change nothing
+    for text in (rows[0][1], rows[1][1], "one", "", None, "x" * 50_000 + " !!!!!!!!!!! y"):
+        assert toxicity.score_texts(net, [text])[0] == pytest.approx(plain_score(net, text), abs=1e-5)
     scored = toxicity.score(docs, net).collect()
     assert len(scored) == len(rows) + len(ODD) and all(0 <= r.score <= 1 for r in scored)
     truth = {i: y for i, _, y in labels}
