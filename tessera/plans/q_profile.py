@@ -45,7 +45,7 @@ def length_bucket(spark, sf_dir):
 
 
 def _sql_keywords() -> str:
-    rows = [(d, k, p) for p, d in enumerate(pf.DOMAINS) for t in (pf.KEYWORDS_EN, pf.KEYWORDS_FR) for k in t[d].split(", ")]
+    rows = [(d, k, p) for p, d in enumerate(pf.DOMAINS) for k in pf.KEYWORDS[d]]
     return "kw(domain, keyword, priority) AS (VALUES " + ", ".join(f"({sql.q(d)}, {sql.q(k)}, {p})" for d, k, p in rows) + ")"
 
 

@@ -57,12 +57,26 @@ def test_chunks_keep_order_and_words(strategy, text):
 
 
 def test_packing_bounds():
-    units = [chunkers.Piece("Word " * n, i, i + 1) for i, n in enumerate([30, 80, 10, 200, 5, 5, 90])]
-    runs = list(chunkers.groups(units, 100))
-    assert [u for r in runs for u in r] == units
-    assert all(sum(u.size for u in r) <= 100 or len(r) == 1 for r in runs)
-    mid = [chunkers.Piece("Word " * 90, 0, 1), chunkers.Piece("goes on " * 20, 1, 2)]
-    assert len(list(chunkers.groups(mid, 100))) == 1 and len(list(chunkers.groups(mid, 80))) == 2
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = [rng.choice((1, 5, 30, 80, 100, 200)) for _ in range(rng.randint(0, 12))]
+        runs = list(chunkers.fill(sizes, 100, [False] * len(sizes)))
+        assert [i for a, b in runs for i in range(a, b)] == list(range(len(sizes)))
+        assert all(sum(sizes[a:b]) <= 100 or b == a + 1 for a, b in runs)
+        assert list(chunkers.cut_runs(sizes, 10**6, [])) == ([(0, len(sizes))] if sizes else [])
+        small = chunkers.settle(sizes, 50, 100)
+        assert [i for a, b in small for i in range(a, b)] == list(range(len(sizes)))
+        assert all(sum(sizes[a:b]) <= 125 or b == a + 1 for a, b in small)
+    assert list(chunkers.fill([90, 40], 100, [False, True])) == [(0, 2)] and list(chunkers.fill([90, 40], 80, [False, True])) == [(0, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("strategy", chunkers.STRATEGIES)
+def test_offsets_are_those_of_the_words(strategy):
+    long = "Article 1\n" + words(700, 4) + "\n\nArticle 2\n" + "\n".join(f"{i}) " + words(60, i) for i in range(1, 9)) + "\n\nArticle 3 bis\n" + words(30, 5)
+    found = chunkers.chunk_text(long, strategy, "prose", 40, 150)
+    assert found
+    for c in found:
+        assert c.text.split()[0] in long[c.start : c.end].split()[0] and long[c.start : c.end].split()[-1].startswith(c.text.split()[-1][:3])
 
 
 def test_legal_strategies_need_legal_structure(spark):
