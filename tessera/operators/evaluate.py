@@ -18,6 +18,15 @@ STOP_DISTINCT = "the and for that with from this dans pour avec des les une sur
 STOP_SEPARATION = "the a an and or but is are was were in on at to for of with by from as le la les de des du et en un une".split()
 
 
+# Lines that begin a unit of a document, and how far from one a chunk may begin.
+ANCHOR = (
+    r"^\s*(?:(?:article|art\.?)\s+\d+(?:\s*(?:er|e|ème|bis|ter|quater))?"
+    r"|(?:titre|chapitre|section|sous-section|paragraphe)\s+(?:[ivxlcdm]+|\d+|premier|première)"
+    r"|#{1,6}\s+\S+|\d+(?:\.\d+){1,3}\s+\S+)"
+)
+TOLERANCE, UNIT_WORDS = 80, 420
+
+
 def order():
     return Window.partitionBy(*KEY).orderBy("idx")
 
@@ -38,6 +47,32 @@ def boundary_quality(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(*KEY).agg(F.avg(each).alias("boundary_quality"))
 
 
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, n_words) of every unit, from its anchor to the next one or the text's end. Spark tells no match's place, so a
+    mark is put before every anchor; the lengths between marks give the places."""
+    text = F.translate(F.coalesce("text", F.lit("")), "\x01", " ")
+    parts = F.split(F.regexp_replace(text, F.lit("(?imud)" + ANCHOR), F.lit("\x01$0")), "\x01", -1)
+    placed = docs.select("doc_id", F.posexplode(parts).alias("k", "part")).withColumn("n", F.length("part"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    found = placed.withColumn("start", F.coalesce(before, F.lit(0)).cast("long")).filter("k > 0")
+    return found.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.greatest(tx.n_words(F.col("part")), F.lit(1)).alias("n_words"))
+
+
+def structure_integrity(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """0.62 times the share of units that a chunk begins at, plus 0.38 times how rarely chunks begin inside units; boundary quality for
+    texts without units. A document's starts are one array, which its units are held against."""
+    starts = chunks.groupBy(*KEY).agg(F.collect_list(F.greatest(F.coalesce("start", F.lit(0)), F.lit(0)).cast("long")).alias("starts"))
+    each = units(docs).join(starts, "doc_id")
+    a, b = F.col("start"), F.col("end")
+    inside = F.size(F.filter("starts", lambda s: (s > a + TOLERANCE) & (s < b - TOLERANCE)))
+    expected = F.greatest(F.lit(1.0), F.bround(F.col("n_words") / float(UNIT_WORDS)))
+    whole = 1.0 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside - expected) / expected)
+    aligned = F.exists("starts", lambda s: F.abs(s - a) <= TOLERANCE).cast("double")
+    found = each.groupBy(*KEY).agg(tx.clip(0.62 * F.avg(aligned) + 0.38 * F.avg(whole)).alias("found"))
+    joined = boundary_quality(chunks).join(found, list(KEY), "left")
+    return joined.select(*KEY, F.coalesce("found", "boundary_quality").alias("structure_integrity"))
+
+
 def spans(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """coverage: spans' length over the text's, at most 1. non_redundancy: 1 minus the share of spans that earlier spans cover."""
     by_start = Window.partitionBy(*KEY).orderBy("start", "end")
@@ -68,10 +103,9 @@ def cohesion(chunks: DataFrame) -> DataFrame:
     return each.groupBy(*KEY).agg(F.avg("c").alias("cohesion"))
 
 
-def separation(chunks: DataFrame, dim: int = 128) -> DataFrame:
+def separation(chunks: DataFrame, dim: int = 128, stop=tuple(STOP_SEPARATION)) -> DataFrame:
     """Mean of 1 minus the cosine of neighbours' bags over buckets; 0.5 without a pair."""
-    unwanted = F.array(*[F.lit(w) for w in STOP_SEPARATION])
-    kept = F.filter(tx.tokens(F.col("text"), 3), lambda t: ~F.array_contains(unwanted, t))
+    kept = F.filter(tx.tokens(F.col("text"), 3), lambda t: ~t.isin(*stop)) if stop else tx.tokens(F.col("text"), 3)
     bags = chunks.select(*KEY, "idx", F.transform(kept, lambda t: hashing.bucket(t, dim)).alias("x")).withColumn("y", F.lead("x").over(order()))
     value = F.when((F.size("x") > 0) & F.col("y").isNotNull() & (F.size("y") > 0), tx.clip(1.0 - hashing.bucket_cosine(F.col("x"), F.col("y"))))
     return bags.groupBy(*KEY).agg(F.coalesce(F.avg(value), F.lit(0.5)).alias("separation"))
@@ -107,14 +141,13 @@ def candidate_scores(chunks: DataFrame, docs: DataFrame, n_min: int = 100, n_max
     """The S2 score of every strategy, without wall-clock time, ranked within the document."""
     total = docs.select("doc_id", F.greatest(tx.n_words(F.col("text")), F.lit(1)).alias("total_words"))
     j = sizes(chunks, n_min, n_max).join(total, "doc_id")
-    for part in (boundary_quality(chunks), spans(chunks, docs), distinctness(chunks), cohesion(chunks)):
+    for part in (boundary_quality(chunks), structure_integrity(chunks, docs), spans(chunks, docs), distinctness(chunks), cohesion(chunks)):
         j = j.join(part, list(KEY))
     target = max(float(n_min), min(float(n_max), float(n_max) * 0.72))
     expected = F.greatest(F.lit(1.0), F.col("total_words") / target)
     j = j.withColumn("size_fit", F.greatest(F.lit(0.0), 0.50 * F.col("in_range") + 0.35 * F.col("avg_fit") - 0.10 * F.col("oversize") - 0.05 * F.col("tiny")))
     j = j.withColumn("count_fit", 1.0 - F.least(F.lit(1.0), F.abs(F.col("n_chunks") - expected) / expected))
-    # Texts without structural anchors take the boundary quality as their structure's.
-    score = 0.23 * F.col("size_fit") + 0.18 * F.col("count_fit") + 0.31 * F.col("boundary_quality") + 0.12 * F.col("cohesion") + 0.09 * (0.45 * F.col("non_redundancy") + 0.55 * F.col("distinctness")) + 0.04 * F.col("coverage")
+    score = 0.23 * F.col("size_fit") + 0.18 * F.col("count_fit") + 0.17 * F.col("boundary_quality") + 0.14 * F.col("structure_integrity") + 0.12 * F.col("cohesion") + 0.09 * (0.45 * F.col("non_redundancy") + 0.55 * F.col("distinctness")) + 0.04 * F.col("coverage")
     return ranked(j.withColumn("score", tx.clip(score)))
 
 
@@ -124,6 +157,20 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("winner", F.col("rank") == 1)
 
 
+def winners(quality_of: DataFrame, kinds: DataFrame, preference: dict[str, tuple[str, ...]], names: tuple[str, ...], forced: str | None = None) -> DataFrame:
+    """quality_of(doc_id, strategy, quality, ...), kinds(doc_id, type) -> the row of every document's strategy, with score: its quality plus
+    a bias by the type's order of preference and for legal strategies. Equal scores by the order of names; a forced strategy wins where it has chunks."""
+    bias = F.lit(0.0)
+    for kind, order_of in preference.items():
+        for k, name in enumerate(order_of):
+            bias = F.when((F.col("type") == kind) & (F.col("strategy") == name), F.lit(0.025 * (len(order_of) - k))).otherwise(bias)
+    bias = bias + F.when(F.col("strategy") == "legal_articles", 0.06).when(F.col("strategy") == "hybrid_legal_semantic", 0.10).otherwise(0.0)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("strategy"))
+    j = quality_of.join(kinds, "doc_id").withColumn("score", F.col("quality") + bias)
+    w = Window.partitionBy("doc_id").orderBy((F.col("strategy") == F.lit(forced or "")).desc(), F.desc(F.round("score", 9)), place)
+    return j.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank", "type")
+
+
 def boundary_hash(chunks: DataFrame) -> DataFrame:
     """(doc_id, strategy, boundary_md5, same_as): strategies of one document with equal spans; the first by name stands for all."""
     spans_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "start", "end"))), lambda x: F.concat_ws(",", x["start"], x["end"])), "|")

@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-MODULES = ("q_profile", "q_chunks", "q_signals", "q_evaluate", "q_retrieval", "q_graph", "q_tune", "q_io")
+MODULES = ("q_profile", "q_chunks", "q_signals", "q_evaluate", "q_retrieval", "q_graph", "q_tune", "q_io", "q_reward")
 
 
 def _load() -> None:

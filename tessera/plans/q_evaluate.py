@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -34,6 +35,45 @@ def boundary_quality(spark, sf_dir):
     return evaluate.boundary_quality(candidates(spark, sf_dir))
 
 
+#: Of documents(doc_id, text) in `docs` and chunks in `cand`: RE2 has no look-around, so a mark is put before every anchor.
+def _sql_structure(docs_table: str = "documents") -> str:
+    marked = rf"regexp_replace(replace(text, chr(1), ' '), {sql.q('(?im)(' + evaluate.ANCHOR + ')')}, chr(1) || '\1', 'g')"
+    return rf"""sparts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, string_split({marked}, chr(1)) AS p FROM {docs_table})),
+splaced AS (SELECT doc_id, k, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM sparts),
+sunits AS (SELECT doc_id, k, a, a + length(part) AS b, round_even(greatest(len({sql.words('part')}), 1) / {evaluate.UNIT_WORDS}.0::DOUBLE, 0) AS e FROM splaced WHERE k > 1),
+sheld AS (SELECT u.doc_id, c.strategy, u.k, greatest(any_value(e), 1.0::DOUBLE) AS e, max((abs(greatest(c.start, 0) - a) <= {evaluate.TOLERANCE})::INT) AS aligned,
+    count(*) FILTER (WHERE greatest(c.start, 0) > a + {evaluate.TOLERANCE} AND greatest(c.start, 0) < b - {evaluate.TOLERANCE}) AS inside FROM sunits u JOIN cand c ON u.doc_id = c.doc_id GROUP BY u.doc_id, c.strategy, u.k),
+sfound AS (SELECT doc_id, strategy, {sql.clip("0.62::DOUBLE * avg(aligned) + 0.38::DOUBLE * avg(1.0::DOUBLE - least(1.0::DOUBLE, greatest(0.0::DOUBLE, inside - e) / e))")} AS found FROM sheld GROUP BY ALL),
+st AS (SELECT doc_id, strategy, coalesce(found, boundary_quality) AS structure_integrity FROM bq LEFT JOIN sfound USING (doc_id, strategy))"""
+
+
+# The documents' texts as articles of 100 words, and chunks that begin at each, or behind every third, article's beginning.
+SQL_ARTICLES = f"""{sql.CHUNKS}, arts AS (SELECT doc_id, idx, 'Article ' || (idx + 1) || chr(10) || text AS text FROM chunks),
+articles AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM arts GROUP BY doc_id),
+acand AS (SELECT doc_id, idx, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM arts),
+cand AS (SELECT doc_id, 'articles' AS strategy, idx, text, start FROM acand UNION ALL SELECT doc_id, 'thirds', idx, text, start + 100 FROM acand WHERE idx % 3 = 0)"""
+
+
+def as_articles(spark, sf_dir):
+    """The documents' texts as articles of 100 words."""
+    c = windows.sliding_window(docs(spark, sf_dir))
+    return c.select("doc_id", "idx", F.concat(F.lit("Article "), F.col("idx") + 1, F.lit("\n"), "text").alias("text"))
+
+
+def joined_articles(arts):
+    rows = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    return arts.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("text"))
+
+
+@register("structure_integrity", f"WITH {SQL_ARTICLES}, {SQL_BQ}, {_sql_structure('articles')} SELECT * FROM st")
+def structure_integrity(spark, sf_dir):
+    arts = as_articles(spark, sf_dir)
+    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = arts.withColumn("start", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)))
+    thirds = placed.filter("idx % 3 = 0").withColumns({"strategy": F.lit("thirds"), "start": F.col("start") + 100})
+    return evaluate.structure_integrity(placed.withColumn("strategy", F.lit("articles")).unionByName(thirds), joined_articles(arts))
+
+
 SQL_SPANS = """sp AS (SELECT doc_id, strategy, least(1.0::DOUBLE, total::DOUBLE / n_chars) AS coverage, 1.0::DOUBLE - least(1.0::DOUBLE, again::DOUBLE / greatest(total, 1)) AS non_redundancy FROM (
   SELECT doc_id, strategy, sum("end" - start) AS total, sum(greatest(least("end", coalesce(seen, 0)) - start, 0)) AS again FROM (
     SELECT *, max("end") OVER (PARTITION BY doc_id, strategy ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM cand) GROUP BY ALL)
@@ -78,11 +118,11 @@ def _sql_sizes(name: str, source: str, share: float) -> str:
   FROM (SELECT doc_id, strategy, greatest(len({sql.words('text')}), 1)::DOUBLE AS n FROM {source}) GROUP BY ALL))"""
 
 
-SQL_CANDIDATES = f"""{SQL_CAND}, {_sql_sizes('sz', 'cand', 0.72)}, {SQL_BQ}, {SQL_SPANS}, {SQL_DISTINCT}, {SQL_COHESION}, tot AS (SELECT doc_id, greatest(len({sql.words('text')}), 1) AS total_words FROM documents),
+SQL_CANDIDATES = f"""{SQL_CAND}, {_sql_sizes('sz', 'cand', 0.72)}, {SQL_BQ}, {_sql_structure()}, {SQL_SPANS}, {SQL_DISTINCT}, {SQL_COHESION}, tot AS (SELECT doc_id, greatest(len({sql.words('text')}), 1) AS total_words FROM documents),
 scored AS (SELECT doc_id, strategy, n_chunks, {sql.clip('''0.23::DOUBLE * greatest(0.0::DOUBLE, 0.50::DOUBLE * in_range + 0.35::DOUBLE * avg_fit - 0.10::DOUBLE * oversize - 0.05::DOUBLE * tiny)
   + 0.18::DOUBLE * (1.0::DOUBLE - least(1.0::DOUBLE, abs(n_chunks - greatest(1.0::DOUBLE, total_words / 360.0::DOUBLE)) / greatest(1.0::DOUBLE, total_words / 360.0::DOUBLE)))
-  + 0.31::DOUBLE * boundary_quality + 0.12::DOUBLE * cohesion + 0.09::DOUBLE * (0.45::DOUBLE * non_redundancy + 0.55::DOUBLE * distinctness) + 0.04::DOUBLE * coverage''')} AS score
-  FROM sz JOIN tot USING (doc_id) JOIN bq USING (doc_id, strategy) JOIN sp USING (doc_id, strategy) JOIN dis USING (doc_id, strategy) JOIN coh USING (doc_id, strategy))"""
+  + 0.17::DOUBLE * boundary_quality + 0.14::DOUBLE * structure_integrity + 0.12::DOUBLE * cohesion + 0.09::DOUBLE * (0.45::DOUBLE * non_redundancy + 0.55::DOUBLE * distinctness) + 0.04::DOUBLE * coverage''')} AS score
+  FROM sz JOIN tot USING (doc_id) JOIN bq USING (doc_id, strategy) JOIN st USING (doc_id, strategy) JOIN sp USING (doc_id, strategy) JOIN dis USING (doc_id, strategy) JOIN coh USING (doc_id, strategy))"""
 
 
 @register("strategy_rank", f"""WITH {SQL_CANDIDATES} SELECT *, rank = 1 AS winner FROM (
@@ -110,8 +150,9 @@ def boundary_hash_dedupe(spark, sf_dir):
     return evaluate.boundary_hash(candidates(spark, sf_dir))
 
 
-def _sql_separation(source: str) -> str:
-    kept = f"list_filter({sql.tokens('text')}, lambda t: length(t) >= 3 AND NOT list_contains({sql.strings(evaluate.STOP_SEPARATION)}, t))"
+def _sql_separation(source: str, stop=tuple(evaluate.STOP_SEPARATION)) -> str:
+    unwanted = f" AND NOT list_contains({sql.strings(stop)}, t)" if stop else ""
+    kept = f"list_filter({sql.tokens('text')}, lambda t: length(t) >= 3{unwanted})"
     return f"""sbags AS (SELECT doc_id, strategy, idx, list_transform({kept}, lambda t: {sql.bucket('t', 128)}) AS x FROM {source}),
 sep AS (SELECT doc_id, strategy, coalesce(avg(CASE WHEN len(x) > 0 AND len(y) > 0 THEN {sql.clip('1.0::DOUBLE - coalesce(' + _sql_cosine('x', 'y') + ', 0.0::DOUBLE)')} END), 0.5::DOUBLE) AS separation
   FROM (SELECT *, lead(x) OVER (PARTITION BY doc_id, strategy ORDER BY idx) AS y FROM sbags) GROUP BY ALL)"""

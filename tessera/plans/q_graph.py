@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import embed, graph, retrieval
+from ..operators import embed, graph
 from . import sql
 from .catalog import register
 from .q_profile import docs
@@ -87,12 +87,6 @@ def embedding_loo_scores(spark, sf_dir):
     return embed.neighbour_scores(chunks(spark, sf_dir))
 
 
-@register("embedding_retrieval_metrics")
-def embedding_retrieval_metrics(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return retrieval.ranking_metrics(c, embed.neighbour_scores(c))
-
-
 _S = sql.parts(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))")
 SQL_TOPIC = rf"""CASE WHEN regexp_extract(text, '(?m)^#{{1,3}}\s+(.+)$', 1) <> '' THEN substr({sql.strip(r"regexp_extract(text, '(?m)^#{1,3}\s+(.+)$', 1)")}, 1, 80)
   ELSE coalesce(substr(list_filter(({_S})[1:3], lambda s: len({sql.words('s')}) >= 4)[1], 1, 80), 'the provided content') END"""

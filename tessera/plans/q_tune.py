@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boundary, chunkers, evaluate, profile, refine, tune
 from .catalog import register
+from .q_evaluate import as_articles, joined_articles
 from .q_profile import docs
 from .q_signals import chunks
 
@@ -17,7 +18,9 @@ def typed(spark, sf_dir):
 def _strategy(name: str):
     @register(f"chunks_{name}")
     def query(spark, sf_dir):
-        return chunkers.chunk(typed(spark, sf_dir), (name,))
+        # The documents have no articles; the legal strategies run over their texts as articles.
+        source = joined_articles(as_articles(spark, sf_dir)).withColumn("type", F.lit("prose")) if "legal" in name else typed(spark, sf_dir)
+        return chunkers.chunk(source, (name,))
 
     return query
 
@@ -28,9 +31,17 @@ for _name in chunkers.STRATEGIES:
 
 @register("strategy_winner")
 def strategy_winner(spark, sf_dir):
-    """The best strategy of every document by quality."""
-    found = evaluate.quality(chunkers.chunk(typed(spark, sf_dir)), 80, 500)
-    return evaluate.ranked(found.withColumnRenamed("quality", "score")).filter("winner").select("doc_id", "strategy", "n_chunks", "score")
+    """The best strategy of every document by quality and its type's preference."""
+    d = typed(spark, sf_dir)
+    found = evaluate.quality(chunkers.chunk(d), 80, 500)
+    return evaluate.winners(found, d.select("doc_id", "type"), chunkers.PREFERENCE, chunkers.STRATEGIES)
+
+
+@register("strategy_rank_all")
+def strategy_rank_all(spark, sf_dir):
+    """All chunkers ranked by the S2 score, with the chunks' own offsets."""
+    d = typed(spark, sf_dir)
+    return evaluate.candidate_scores(chunkers.chunk(d), d).select("doc_id", "strategy", "n_chunks", "score", "rank", "winner")
 
 
 @register("refined_chunks")
@@ -47,7 +58,8 @@ def merged_chunks(spark, sf_dir):
 
 @register("parameter_search")
 def parameter_search(spark, sf_dir):
-    return tune.search(typed(spark, sf_dir), "paragraph_pack", size=4, generations=2)
+    """Trials of every tunable strategy; fitness is the mean reward after refinement and merging."""
+    return tune.search(typed(spark, sf_dir), size=3, generations=2)
 
 
 # Seven numbers in [0, 1) from a document's id.

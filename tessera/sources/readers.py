@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.chunkers import STRATEGIES
 
 MOST_BYTES = 50 * 1024 * 1024
 # Lines that only number a page.
-PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d{1,4}(?:\s*(?:/|of|sur)\s*\d{1,4})?\s*$"
+PAGE_NUMBER = r"^\s*[-–—]?\s*\d+\s*(?:[-–—]|of\s+\d+)?\s*$"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +49,12 @@ def strip_repeated_lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page").join(kept.groupBy("doc_id", "page").agg(text.alias("text")), ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
 
 
+METRICS = ("jsd", "hellinger", "hybrid", "pmi", "depth", "drift")
+
+
 @dataclass(frozen=True)
 class Config:
-    """Parameters; unknown names are refused, numbers are brought into their ranges."""
+    """Parameters; unknown names are refused, numbers are brought into their ranges, an unknown metric or strategy is the default."""
 
     n_min: int = 80
     n_max: int = 500
@@ -57,22 +62,48 @@ class Config:
     tau_jsd_low: float = 0.15
     tau_jsd_high: float = 0.45
     tau_sem: float = 0.75
+    max_iterations: int = 30
+    alpha: float = 0.4
+    beta: float = 0.4
+    hybrid_lambda: float = 0.6
     chunking_strategy: str = "auto"
     entropy_metric: str = "hybrid"
     domain_keywords: dict = field(default_factory=dict)
 
-    RANGES = {"n_min": (10, 2000), "n_max": (50, 5000), "overlap_tokens": (0, 500), "tau_jsd_low": (0.0, 1.0), "tau_jsd_high": (0.0, 1.0), "tau_sem": (0.0, 1.0)}
+    # The least and the greatest value.
+    RANGES = {"n_min": (20, 400), "n_max": (80, 1200), "tau_jsd_low": (0.01, 0.6), "tau_jsd_high": (0.05, 0.95), "tau_sem": (0.2, 0.99), "max_iterations": (1, 30), "alpha": (0.0, 1.0), "beta": (0.0, 1.0), "hybrid_lambda": (0.0, 1.0)}
 
     def updated(self, **given) -> "Config":
-        """Defaults < file < call: each layer by one call."""
+        """Defaults < file < call: each layer by one call. A number that can't be read is left as it was."""
         known = {f.name for f in fields(self)}
         if unknown := set(given) - known:
             raise ValueError(f"unknown parameters: {sorted(unknown)}")
         for k, (lo, hi) in self.RANGES.items():
             if k in given:
-                given[k] = type(getattr(self, k))(min(hi, max(lo, given[k])))
+                try:
+                    given[k] = type(getattr(self, k))(min(hi, max(lo, float(given[k]))))
+                except (TypeError, ValueError):
+                    del given[k]
+        for k, allowed in (("entropy_metric", METRICS), ("chunking_strategy", (*STRATEGIES, "auto"))):
+            if k in given:
+                given[k] = str(given[k]).lower() if str(given[k]).lower() in allowed else getattr(Config(), k)
         new = replace(self, **given)
-        return replace(new, tau_jsd_high=min(1.0, new.tau_jsd_low + 0.1)) if new.tau_jsd_low >= new.tau_jsd_high else new
+        return replace(new, tau_jsd_high=new.tau_jsd_low + 0.1) if new.tau_jsd_low >= new.tau_jsd_high else new
+
+    @classmethod
+    def from_yaml(cls, spark: SparkSession, path: str, key: str = "pipeline") -> "Config":
+        """The parameters under a key of a YAML file, read through Spark, so that any store will do; names it doesn't know are skipped. A
+        missing file, or one that holds no table, gives the defaults."""
+        import yaml
+
+        try:
+            rows = spark.read.text(path, wholetext=True).collect()  # one small file
+            given = yaml.safe_load(rows[0][0]) if rows else None
+        except (AnalysisException, yaml.YAMLError):
+            given = None
+        given = given.get(key) if isinstance(given, dict) else None
+        known = {f.name for f in fields(cls)}
+        return cls().updated(**{k: v for k, v in (given if isinstance(given, dict) else {}).items() if k in known})
 
 
 def newest(history: DataFrame, keys: list[str], order: str, most: int = 200) -> DataFrame:

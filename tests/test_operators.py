@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import boundary, chunkers, evaluate, graph, profile, refine, retrieval, signals, tune, windows
+from tessera.operators import boundary, chunkers, evaluate, graph, profile, refine, retrieval, reward, signals, tune, windows
 from tessera.sources import readers, sinks
 
 LEGAL = "CHAPITRE I\n\nArticle 1\nLe contrat est formé. Il lie les parties.\n\nArticle 2 - Objet\n1) premier point de la liste\n2) second point de la liste\n\nArticle 3\n" + "Une phrase assez longue pour remplir. " * 60
@@ -197,10 +197,10 @@ def test_genes(spark):
 
 
 def test_repeated_lines_and_page_numbers(spark):
-    pages = spark.createDataFrame([(1, p, f"Header\nbody {p} line\nmore {p}\nx{p}\ny{p}\nz{p}\nPage {p}\nFooter") for p in range(4)], "doc_id bigint, page bigint, text string")
+    pages = spark.createDataFrame([(1, p, f"Header\nbody {p} line\nmore {p}\nx{p}\ny{p}\nz{p}\n- {p} -\n{p} of 9\nFooter") for p in range(4)], "doc_id bigint, page bigint, text string")
     assert {r.line for r in readers.repeated_lines(pages).collect()} == {"Header", "Footer"}
     out = readers.strip_repeated_lines(pages).select(readers.without_page_numbers(F.col("text")).alias("t")).collect()
-    assert all("Header" not in r.t and "Page" not in r.t and "body" in r.t for r in out)
+    assert all("Header" not in r.t and " of 9" not in r.t and "- " not in r.t and "body" in r.t for r in out)
 
 
 def test_files_and_config(spark, tmp_path):
@@ -210,15 +210,28 @@ def test_files_and_config(spark, tmp_path):
     got = {r.filename: (r.text, r.extension) for r in readers.read_files(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("héllo", "txt"), "b.md": ("café", "md")}
     c = readers.Config().updated(n_min=5, tau_jsd_low=0.6)
-    assert c.n_min == 10 and c.tau_jsd_high > c.tau_jsd_low
+    assert c.n_min == 20 and c.tau_jsd_high > c.tau_jsd_low
+    assert readers.Config().updated(n_max="x", entropy_metric="HELLINGER", chunking_strategy="no such") == readers.Config(entropy_metric="hellinger")
+    (tmp_path / "c.yaml").write_text("pipeline:\n  n_min: 55\n  tau_sem: 7\n  unheard_of: 1\n")
+    (tmp_path / "bad.yaml").write_text("pipeline: [")
+    assert readers.Config.from_yaml(spark, str(tmp_path / "c.yaml")) == readers.Config(n_min=55, tau_sem=0.99)
+    assert readers.Config.from_yaml(spark, str(tmp_path / "bad.yaml")) == readers.Config.from_yaml(spark, str(tmp_path / "none.yaml")) == readers.Config()
     with pytest.raises(ValueError):
         readers.Config().updated(unknown=1)
 
 
 def test_sinks(spark):
     chunks = spark.createDataFrame([(1, 1, "b\nc", 2, 0.6), (1, 0, "a", 1, 0.9)], "doc_id bigint, idx int, text string, n_words int, score double")
-    assert sinks.markdown(chunks).first().markdown.startswith("# Chunks: 2\n\n## Chunk 1\n")
-    assert [r.preview for r in sinks.csv_rows(chunks).orderBy("idx").collect()] == ["a", "b c"]
+    about = spark.createDataFrame([(1, "prose", "legal")], "doc_id bigint, type string, domain string")
+    named = chunks.withColumn("entities", F.when(F.col("idx") == 0, F.array(F.lit("Jane"), F.lit("Acme")))).withColumn("chunk_score", F.col("score"))
+    assert sinks.markdown(named, about).first().markdown == (
+        "# Chunking results\n\n- Document type: prose\n- Domain: legal\n- Chunks: 2\n- Mean score: 0.75\n\n"
+        "---\n<!-- chunk_index: 0 | tokens: 1 | score: 0.9 | entities: Jane, Acme -->\na\n\n---\n<!-- chunk_index: 1 | tokens: 2 | score: 0.6 | entities:  -->\nb\nc\n"
+    )
+    rows = sinks.csv_rows(named).orderBy("index").collect()
+    assert [(r.text_preview, r.entities, r.boundary_type) for r in rows] == [("a", "Jane, Acme", None), ("b c", "", None)]
+    assert rows[0].asDict().keys() == {"doc_id", "index", "token_count", "chunk_score", "jsd_score", "boundary_score", "boundary_type", "entities", "text_preview"}
+    assert sinks.explore(chunks.withColumn("boundary_type", F.lit("soft")), "b", boundary_type="hard").count() == 0
     assert [r.idx for r in sinks.explore(chunks, "B", "medium").collect()] == [1]
     assert sinks.json_documents(chunks).first().json.index('"a"') < sinks.json_documents(chunks).first().json.index('"b')
 
@@ -265,3 +278,92 @@ def test_entity_queries_count_every_entity(spark, tmp_path):
     assert {(r.a, r.b): r.cnt for r in run["entity_cooccurrence"]} == pairs and any(len(a) < 14 for a, _ in pairs)
     assert {(r.doc_id, r.source, r.target): r.weight for r in run["entity_edges"]} == weights
     assert any("relation_bridge" in r.types for r in run["entity_edges"])
+
+
+def test_structure_integrity_against_a_plain_count(spark):
+    rng, rows, docs = random.Random(4), [], []
+    for i in range(6):
+        parts = [f"Article {k + 1}\n" + words(rng.choice((30, 200, 900)), 10 * i + k) for k in range(rng.randint(1, 6))]
+        text = words(20, 99 + i) + "\n\n" + "\n\n".join(parts) if i else "no heads here. " * 9
+        docs.append((i, text))
+        rows += [(i, s, k, "T.", sum(map(len, text[:a]))) for s in ("a", "b") for k, a in enumerate(sorted(rng.sample(range(len(text)), 6)))]
+    chunks = spark.createDataFrame([(i, s, k, t, a, a + 5) for i, s, k, t, a in rows], "doc_id bigint, strategy string, idx int, text string, start int, end int")
+    got = {(r.doc_id, r.strategy): r.structure_integrity for r in evaluate.structure_integrity(chunks, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    import re
+
+    for i, text in docs:
+        heads = [m.start() for m in re.finditer(evaluate.ANCHOR, text, re.M | re.I)]
+        for s in "ab":
+            starts = [r[4] for r in rows if r[:2] == (i, s)]
+            if not heads:
+                assert got[i, s] == pytest.approx(1.0)  # boundary quality
+                continue
+            whole = []
+            for a, b in zip(heads, [*heads[1:], len(text)]):
+                e = max(1, round(len(text[a:b].split()) / 420))
+                whole.append(1 - min(1, max(0, sum(a + 80 < x < b - 80 for x in starts) - e) / e))
+            near = sum(any(abs(x - a) <= 80 for x in starts) for a in heads) / len(heads)
+            assert got[i, s] == pytest.approx(0.62 * near + 0.38 * sum(whole) / len(whole))
+
+
+def test_probes_and_reward(spark):
+    text = LEGAL + "\n\n# A heading here\n\n2.1 numbered part of it\n\nThe first sentence of this paragraph has many words. And more."
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "short one")], "doc_id bigint, text string")
+    found = [r.probe for r in reward.probes(docs).orderBy("pos").collect()]
+    assert 1 <= len(found) <= 8 and all(r.doc_id == 1 for r in reward.probes(docs).collect())
+    chunks = spark.createDataFrame([(1, "s", 0, found[0], "hard", 0.5, 0.4), (1, "s", 1, "zzz qqq.", "soft", None, None), (1, "s", 2, "the end", "end", 0.1, 0.9), (3, "s", 0, "x", "end", 0.2, None)], "doc_id bigint, strategy string, idx int, text string, boundary_type string, icc double, pmi_drop double")
+    got = {r.doc_id: r for r in reward.reward(chunks, reward.probes(docs), 1, 20).collect()}
+    assert got[3].coverage == 0.5 and got[3].quality == pytest.approx(0.55 * 0.5 + 0.45 * 0.2)
+    assert got[1].structural == pytest.approx(0.5 * 0.5 + 0.5 * 0.45) and 0 < got[1].coverage <= 1
+    assert got[1].efficiency == pytest.approx(1 - (3 - 2) / 3)
+    capped = reward.reward(chunks, reward.probes(docs), 1000, 2000).filter("doc_id = 1").first()
+    assert capped.total <= 0.5
+
+
+def test_trials_read_every_parameter(spark):
+    docs = spark.createDataFrame([(i, words(1500, i), "prose") for i in range(3)] + [(9, None, "prose")], "doc_id bigint, text string, type string")
+    base = {n: (lo + hi) / 2 for n, lo, hi, _ in tune.GENES} | {"n_min": 40, "n_max": 160}
+    same = [("paragraph_pack", base), ("paragraph_pack", base | {"tau_sem": 0.05}), ("paragraph_pack", base | {"tau_percentile_low": 45.0, "tau_percentile_high": 95.0}), ("paragraph_pack", base | {"n_max": 300})]
+    rows = tune.run_trials(docs, same).collect()
+    texts = {k: [(r.doc_id, r.idx, r.text, r.boundary_type) for r in rows if r.strategy == str(k)] for k in range(4)}
+    assert all(texts[0] != texts[k] for k in (1, 2, 3))
+    low, high = ({r.boundary_type for r in tune.run_trials(docs, [("paragraph_pack", base | {"tau_jsd_low": a, "tau_jsd_high": b})], "fixed").collect()} for a, b in ((0.05, 0.2), (0.05, 0.99)))
+    assert low == {"hard", "end"} and high == {"soft", "end"}
+    trials = tune.search(docs, ("paragraph_pack", "legal_articles"), size=3, generations=2)
+    assert trials.count() == 12 and {r.fitness for r in trials.filter("strategy = 'legal_articles'").collect()} == {-1.0}
+    best = tune.winner(trials).collect()
+    assert len(best) == 1 and best[0].fitness == max(r.fitness for r in trials.collect()) and tune.winner(trials, ("strategy",)).count() == 2
+
+
+def test_twins_of_the_merge(spark):
+    texts = ["1) Alpha beta gamma delta.\n2) Alpha beta other words here.", "Some text of four words. More text of four words.", words(60, 3), words(60, 4), "x"]
+    chunks = spark.createDataFrame([(1, i, t, 30) for i, t in enumerate(texts)], "doc_id bigint, idx int, text string, n_words int")
+    native = {r.idx: r.multiscale for r in boundary.multiscale(chunks).collect()}
+    assert [native.get(i, 0.0) for i in range(5)] == pytest.approx(refine.multiscale(texts))
+    assert {r.idx: pytest.approx(r.icc) for r in boundary.coherence(chunks).collect()} == dict(enumerate(map(refine.coherence, texts)))
+    code = chunks.select(boundary.structural_code(F.lit("a {"), F.lit("# x\n}")).alias("s")).first().s
+    assert refine.structural("a {", "# x\n}", "code") == pytest.approx(code)
+    merged = refine.merge_similar([texts[1]] * 3 + [texts[2]], [1.0] * 3 + [0.0], 0.6)
+    assert [m["n_merged"] for m in merged] == [2, 0] and merged[0]["icc"] == refine.coherence(texts[1])
+
+
+def test_winners_by_bias(spark):
+    rows = [(1, "semantic_boundaries", 2, 0.50), (1, "sliding_window", 2, 0.60), (2, "semantic_boundaries", 2, 0.50), (2, "structure", 2, 0.50), (3, "legal_articles", 1, 0.5), (3, "hybrid_legal_semantic", 1, 0.47)]
+    q = spark.createDataFrame(rows, "doc_id bigint, strategy string, n_chunks int, quality double")
+    kinds = spark.createDataFrame([(1, "prose"), (2, "code"), (3, "prose")], "doc_id bigint, type string")
+    pick = lambda forced=None: {r.doc_id: r.strategy for r in evaluate.winners(q, kinds, chunkers.PREFERENCE, chunkers.STRATEGIES, forced).collect()}
+    assert pick() == {1: "semantic_boundaries", 2: "structure", 3: "hybrid_legal_semantic"}
+    assert pick("sliding_window")[1] == "sliding_window"
+
+
+def test_reports(spark):
+    from tessera.operators import report
+
+    rows = [(1, "s", 0, "a  b\nc", "hard", 0.7, 0.2, 1), (1, "s", 1, "d", None, None, None, 0), (1, "s", 2, "e", "end", 0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, strategy string, idx int, text string, boundary_type string, signal double, jsd double, n_merged int")
+    assert [(r.preview, r.boundary_type, r.signal) for r in report.summary(df).orderBy("idx").collect()] == [("a b c", "hard", 0.7), ("d", "unknown", 0.0), ("e", "end", 0.0)]
+    assert report.signal_series(df).first().series == [0.7, 0.0, 0.0]
+    s = report.stage_stats(df, df.unionByName(df.limit(1))).first()
+    assert (s.initial_count, s.final_count, s.merged_count, s.hard_count, s.end_count) == (4, 3, 1, 1, 1) and s.merge_ratio == pytest.approx(1 / 3) and s.mean_signal == pytest.approx(0.7)
+    levels = {(r.metric): (r.level, r.reason) for r in report.metric_levels(spark.createDataFrame([(1, 0.7, 0.4, 0.1, 1.0, 0.0)], "doc_id bigint, RC double, ICC double, DCC double, BI double, SC double")).collect()}
+    assert levels["RC"][0] == "strong" and levels["ICC"][0] == "usable" and levels["SC"] == ("weak", report.REASONS["SC"]["weak"])
