@@ -50,6 +50,19 @@ def syntactic_overlap() -> Column:
     return F.when(total > 0, overlap_counts(F.col("fa"), F.col("fb")) / total).otherwise(0.0)
 
 
+# Tokens of code.
+CODE_TOKEN = r"[+\-*/%&|^~<>=!;:,.()\[\]{}]|[\p{L}\p{N}_]+"
+
+
+def code_tokens(text: Column) -> Column:
+    """Distinct words and operators."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CODE_TOKEN), F.lit(0)))
+
+
+def operator_overlap(a: Column, b: Column) -> Column:
+    return tx.jaccard(code_tokens(a), code_tokens(b))
+
+
 def token_types() -> Column:
     return tx.jaccard(F.array_distinct("ta"), F.array_distinct("tb"))
 
@@ -89,11 +102,19 @@ def multiscale(chunks: DataFrame, scales: tuple[int, ...] = (1, 2, 3)) -> DataFr
 
 
 def scores(chunks: DataFrame, merge_weight: float = 1.0, dim: int = 128) -> DataFrame:
-    """The composite score and its parts, of the boundary on the left of every chunk but a document's first."""
+    """The composite score and its parts, of the boundary on the left of every chunk but a document's first. Chunks of a type (code,
+    table, mixed, prose; prose without that column) are held against each other as such."""
     order = Window.partitionBy("doc_id").orderBy("idx")
-    pairs = chunks.select("doc_id", "idx", F.lag("text").over(order).alias("text"), F.col("text").alias("text_b")).filter("text is not null")
+    kind = F.col("type") if "type" in chunks.columns else F.lit("prose")
+    pairs = chunks.select("doc_id", "idx", kind.alias("kind"), F.lag("text").over(order).alias("text"), F.col("text").alias("text_b")).filter("text is not null")
+    typed = "type" in chunks.columns
     step = prepared(pairs).withColumns({"xa": F.transform("ta", lambda t: hashing.bucket(t, dim)), "xb": F.transform("tb", lambda t: hashing.bucket(t, dim))})
-    parts = step.select("doc_id", "idx", ngram_precision().alias("bleu"), syntactic_overlap().alias("syntactic"), token_types().alias("token_type"), structural_prose(F.col("text"), F.col("text_b")).alias("structural"), hashing.bucket_cosine(F.col("xa"), F.col("xb")).alias("semantic"))
+    a, b = F.col("text"), F.col("text_b")
+    syntactic, structural = syntactic_overlap(), structural_prose(a, b)
+    if typed:
+        syntactic = F.when(F.col("kind") == "code", operator_overlap(a, b)).otherwise(syntactic)
+        structural = F.when(F.col("kind").isin("code", "mixed", "table"), structural_code(a, b)).otherwise(structural)
+    parts = step.select("doc_id", "idx", ngram_precision().alias("bleu"), syntactic.alias("syntactic"), token_types().alias("token_type"), structural.alias("structural"), hashing.bucket_cosine(F.col("xa"), F.col("xb")).alias("semantic"))
     joined = parts.join(multiscale(chunks), ["doc_id", "idx"])
     total = sum((WEIGHTS[k] * F.col(k) for k in ("bleu", "syntactic", "token_type", "structural")), F.lit(0.0)) + WEIGHTS["semantic"] * (F.col("semantic") + F.col("multiscale")) / 2.0
     return joined.withColumn("boundary_score", tx.clip(total * merge_weight))
@@ -115,3 +136,15 @@ def coherence(chunks: DataFrame) -> DataFrame:
     pairs = placed.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id", "idx").orderBy("pos"))).filter("b is not null")
     found = pairs.groupBy("doc_id", "idx").agg(F.avg(tx.jaccard(F.col("a"), F.col("b"))).alias("raw"))
     return chunks.select("doc_id", "idx").join(found, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("raw", F.lit(0.5)).alias("icc"))
+
+
+def semantic_score(pair: Column, embedding_cosine: Column | None = None, cross_encoder: Column | None = None) -> Column:
+    """The first that is known: the embeddings' cosine, a cross-encoder's score s as (s + 1) / 2, the bags' cosine."""
+    known = [c for c in (embedding_cosine, None if cross_encoder is None else (cross_encoder + 1.0) / 2.0) if c is not None]
+    return tx.clip(F.coalesce(*known, pair))
+
+
+def allowed_merge(left: Column, right: Column, both: Column, threshold: float = 1.1) -> Column:
+    """Whether perplexities allow a merge: the joined text's is below the greater one's, times the threshold; true where they are unknown."""
+    most = F.greatest(left, right)
+    return F.coalesce(F.when(most > 0, both < most * threshold), F.lit(True))

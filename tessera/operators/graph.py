@@ -15,9 +15,29 @@ PHRASE = r"(?<![\p{L}\p{N}_])[A-ZÀ-Ÿ][a-zà-ÿ]+(?:(?U:\s)+[A-ZÀ-Ÿ][a-zà-ÿ
 VERBS = "is has uses owns acquired manages contains supports reports causes".split()
 
 
+# First words that begin no entity: words that open sentences, and nouns of headings.
+BLOCKED = (
+    "The This That These Those When Where What Which However Therefore Moreover Furthermore Although Because "
+    "Since While Both Each Some Many Most Such Here There Thus Hence Also But And Or Yet "
+    "Les Des Une Dans Pour Que Est Sur Par Avec Aux Cette Leur Leurs Dont Ainsi Lorsque Lorsqu "
+    "Sont Ont Peut Doit Doivent Toute Tout Tous Selon Sous Entre Après Avant Sans Même Plus "
+    "Lors Afin Sauf Quant Comme Bien Soit Seul Seule Seuls Seules Tel Tels Telle Telles "
+    "Aucun Aucune Chaque Plusieurs Elles Nous Vous Notamment Respectivement Également "
+    "Champ Application Objet Portée Effets Entrée Vigueur Dénonciation Ratification Protocole Annexe Amendement "
+    "Income Interest Royalties Object Scope Entry Force Termination"
+).split()
+#: Nouns of headings that are blocked in both numbers.
+BLOCKED_NOUNS = (
+    ("Personne", "s"), ("Revenu", "s"), ("Impôt", "s"), ("Résident", "s"), ("Société", "s"), ("Bénéfice", "s"), ("Dividende", "s"), ("Intérêt", "s"),
+    ("Redevance", "s"), ("Salaire", "s"), ("Pension", "s"), ("Rémunération", "s"), ("Élément", "s"), ("Définition", "s"), ("Disposition", "s"), ("Entreprise", "s"),
+    ("Établissement", "s"), ("Service", "s"), ("Person", "s"), ("Tax", "es"), ("Resident", "s"), ("Dividend", "s"), ("Benefit", "s"), ("Provision", "s"),
+)
+BLOCKED_PAIRS = ("Company", "Companies", "Salary", "Salaries")
+
+
 def blocked() -> list[str]:
-    """First words that begin no entity: the stop words, capitalised."""
-    return sorted({w.capitalize() for ws in (tx.STOP_PROFILE, tx.STOP_SIGNALS, tx.FUNCTION_WORDS) for w in ws})
+    """First words that begin no entity."""
+    return sorted({*BLOCKED, *BLOCKED_PAIRS, *(n for noun, end in BLOCKED_NOUNS for n in (noun, noun + end))})
 
 
 def entities(chunks: DataFrame, most: int = 30, blocklist: list[str] | None = None) -> DataFrame:
@@ -89,6 +109,41 @@ def upsert(store: DataFrame, fresh: DataFrame) -> DataFrame:
     return store.unionByName(fresh).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
+def chunk_index(ents: DataFrame, run: str, sequence: int) -> DataFrame:
+    """(entity, chunk, sequence): which chunks of a run hold an entity; later runs have greater sequence numbers."""
+    chunk = F.concat(F.lit(run + "::"), F.col("doc_id").cast("string"), F.lit("::C"), F.col("idx").cast("string"))
+    return ents.select(F.col("canonical").alias("entity"), chunk.alias("chunk"), F.lit(sequence).cast("long").alias("sequence")).distinct()
+
+
+def save_store(path: str, pairs: DataFrame, index: DataFrame, most: int = 500) -> None:
+    """Writes a new version of the store: pairs(a, b, cnt), and of every entity the last `most` chunks. The version's number is the
+    folder's name, so a reader of the one before isn't disturbed, and a run that breaks off leaves none."""
+    newest = Window.partitionBy("entity").orderBy(F.desc("sequence"), F.desc("chunk"))
+    kept = index.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= most).drop("r")
+    version = len(store_versions(pairs.sparkSession, path))
+    pairs.write.parquet(f"{path}/pairs/version={version}")
+    kept.write.parquet(f"{path}/index/version={version}")
+
+
+def store_versions(spark, path: str) -> list[int]:
+    """Versions whose both tables are complete."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    at = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    while all(fs.exists(at(f"{path}/{t}/version={len(found)}/_SUCCESS")) for t in ("pairs", "index")):
+        found.append(len(found))
+    return found
+
+
+def load_store(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, index) of the newest version; empty tables where there is none."""
+    versions = store_versions(spark, path)
+    pairs, index = "a string, b string, cnt bigint", "entity string, chunk string, sequence bigint"
+    if not versions:
+        return spark.createDataFrame([], pairs), spark.createDataFrame([], index)
+    return tuple(spark.read.schema(s).parquet(f"{path}/{t}/version={versions[-1]}") for t, s in (("pairs", pairs), ("index", index)))
+
+
 def neighbour_means(edge: DataFrame, vectors: DataFrame) -> DataFrame:
     """(doc_id, idx, vector): the weighted mean of the neighbours' vectors(doc_id, idx, vector)."""
     both = edge.select("doc_id", F.col("source").alias("idx"), F.col("target").alias("n"), "weight").unionByName(edge.select("doc_id", F.col("target").alias("idx"), F.col("source").alias("n"), "weight"))

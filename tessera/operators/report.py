@@ -100,6 +100,26 @@ def metric_levels(profiles: DataFrame) -> DataFrame:
     return profiles.select("doc_id", rows).select("doc_id", "x.metric", "x.score").withColumn("level", profile.metric_level(F.col("score"))).withColumn("reason", reason(F.col("metric"), F.col("level")))
 
 
+def metric_details(docs: DataFrame) -> DataFrame:
+    """(doc_id, ...): the counts, means and deviations behind a profile's metrics, in one pass over the texts."""
+    text = F.coalesce("text", F.lit(""))
+    size = lambda parts: F.transform(parts, lambda x: F.size(tx.content_tokens(x, tx.STOP_PROFILE)).cast("double"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    mean = lambda c: F.when(F.size(c) > 0, total(F.col(c)) / F.size(c)).otherwise(0.0)
+    base = docs.select("doc_id", text.alias("text")).withColumns({"s": size(tx.sentences(F.col("text"))), "b": size(tx.blocks(F.col("text")))})
+    base = base.withColumn("block_mean", mean("b"))
+    spread = F.sqrt(F.aggregate("b", F.lit(0.0), lambda a, x: a + (x - F.col("block_mean")) * (x - F.col("block_mean"))) / F.greatest(F.size("b"), F.lit(1)))
+    t = F.col("text")
+    short = F.size(F.filter(tx.full_lines(t), lambda x: F.length(x) <= 2))
+    long = lambda c: c.cast("long")
+    return base.select(
+        "doc_id", *[long(c).alias(k) for k, c in profile.cue_counts(t).items()], long(F.size("b")).alias("block_count"), long(F.size("s")).alias("sentence_count"),
+        mean("s").alias("mean_sentence_tokens"), F.col("block_mean").alias("mean_block_tokens"), spread.alias("sd_block_tokens"), profile.delimiter_balance(t).alias("balanced_delimiters"),
+        long(short).alias("short_noise_lines"), long(tx.count_chars(t, "\x00", "�")).alias("replacement_chars"), long(F.regexp_count(t, F.lit(profile.STRUCTURAL.replace("(?iud)", "(?imud)")))).alias("structural_boundaries"),
+        long(tx.n_words(t)).alias("document_words"),
+    )
+
+
 def graph_nodes(chunks: DataFrame, ents: DataFrame, rels: DataFrame) -> DataFrame:
     """(doc_id, id, label, entity_count, relation_count): a node for every chunk."""
     count = lambda df, name: df.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias(name))

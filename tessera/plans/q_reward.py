@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import boundary, embed, graph, profile, report, retrieval, reward, signals
 from . import sql
 from .catalog import register
 from .q_evaluate import SQL_ARTICLES, _sql_separation, as_articles, joined_articles
 from .q_graph import SQL_BOW, SQL_TOPIC
-from .q_profile import SQL_DOMAIN, SQL_SCORES, SQL_TYPE, docs
+from .q_profile import SQL_BALANCE, SQL_CUES, SQL_DOMAIN, SQL_GATE_PARTS, SQL_SCORES, SQL_TYPE, docs
 from .q_signals import SQL_DIST, SQL_ICC, SQL_PMI, SQL_THRESHOLDS, chunks
 
 
@@ -146,3 +148,24 @@ def embedding_retrieval_metrics(spark, sf_dir):
 @register("metric_levels")
 def metric_levels(spark, sf_dir):
     return report.metric_levels(profile.profiles(docs(spark, sf_dir)))
+
+
+@register("metric_details", rf"""WITH p AS ({SQL_GATE_PARTS}), n AS (SELECT *, list_transform(sentences, lambda x: len({sql.content('x', tx.STOP_PROFILE)})::DOUBLE) AS s, list_transform(blocks, lambda x: len({sql.content('x', tx.STOP_PROFILE)})::DOUBLE) AS b FROM p)
+SELECT doc_id, {SQL_CUES}, len(b) AS block_count, len(s) AS sentence_count, coalesce(list_avg(s), 0.0::DOUBLE) AS mean_sentence_tokens, coalesce(list_avg(b), 0.0::DOUBLE) AS mean_block_tokens,
+  coalesce(list_stddev_pop(b), 0.0::DOUBLE) AS sd_block_tokens, {SQL_BALANCE} AS balanced_delimiters, len(list_filter(ls, lambda x: length(x) <= 2)) AS short_noise_lines, {sql.chars('text', '�')} AS replacement_chars,
+  {sql.count('text', profile.STRUCTURAL.replace('(?iud)', '(?im)'))} AS structural_boundaries, len({sql.words('text')}) AS document_words FROM n""")
+def metric_details(spark, sf_dir):
+    return report.metric_details(docs(spark, sf_dir))
+
+
+_CODE = lambda t: f"list_distinct(regexp_extract_all({t}, {sql.q(boundary.CODE_TOKEN)}))"
+_OFF = lambda t: f"abs({sql.chars(t, '{')} - {sql.chars(t, '}')})"
+
+
+@register("code_continuity", f"""WITH {sql.CHUNKS}, lr AS (SELECT b.doc_id, b.idx, a.text AS a, b.text AS b FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND a.idx + 1 = b.idx)
+SELECT doc_id, idx, {sql.jaccard(_CODE('a'), _CODE('b'))} AS operators, {sql.clip(f"(1.0::DOUBLE - least(1.0::DOUBLE, ({_OFF('a')} + {_OFF('b')}) / 6.0::DOUBLE) + CASE WHEN regexp_matches(b, '(?m)^#{{1,6}}\\s') THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END + CASE WHEN contains(a, '<') AND contains(a, '>') AND contains(b, '<') AND contains(b, '>') THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END) / 3.0::DOUBLE")} AS structural FROM lr""")
+def code_continuity(spark, sf_dir):
+    """The parts of the boundary score that texts of code have."""
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    pairs = chunks(spark, sf_dir).select("doc_id", "idx", F.lag("text").over(order).alias("a"), F.col("text").alias("b")).filter("a is not null")
+    return pairs.select("doc_id", "idx", boundary.operator_overlap(F.col("a"), F.col("b")).alias("operators"), boundary.structural_code(F.col("a"), F.col("b")).alias("structural"))

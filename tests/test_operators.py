@@ -367,3 +367,49 @@ def test_reports(spark):
     assert (s.initial_count, s.final_count, s.merged_count, s.hard_count, s.end_count) == (4, 3, 1, 1, 1) and s.merge_ratio == pytest.approx(1 / 3) and s.mean_signal == pytest.approx(0.7)
     levels = {(r.metric): (r.level, r.reason) for r in report.metric_levels(spark.createDataFrame([(1, 0.7, 0.4, 0.1, 1.0, 0.0)], "doc_id bigint, RC double, ICC double, DCC double, BI double, SC double")).collect()}
     assert levels["RC"][0] == "strong" and levels["ICC"][0] == "usable" and levels["SC"] == ("weak", report.REASONS["SC"]["weak"])
+
+
+def _three(texts):
+    return [[float(len(t)), 1.0, 2.0] for t in texts]
+
+
+def test_models_are_plugged_in(spark, tmp_path):
+    from tessera.operators import models
+
+    df = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "alpha beta"), (2, 0, "")], "doc_id bigint, idx int, input string")
+    got = {(r.doc_id, r.idx): r for r in models.embeddings(df, {"e5-large-v2": lambda: _three, "none": lambda: 1 / 0}).collect()}
+    assert got[1, 0].vector == pytest.approx(models.project([10.0, 1.0, 2.0]).tolist()) and len(got[2, 0].vector) == 256
+    bags = {(r.doc_id, r.idx): r for r in models.embeddings(df, {"none": lambda: 1 / 0}).collect()}
+    assert bags[1, 0].models == ["bow_fallback"] and sum(x * x for x in bags[1, 0].vector) == pytest.approx(1.0)
+    assert (models.project([1.0] * 256) == 1.0).all()
+    path = str(tmp_path / "cache")
+    for _ in range(2):
+        assert [r.vector for r in models.cached(df, "m", lambda: _three, path).orderBy("doc_id", "idx").collect()] == _three(["alpha beta", "alpha beta", ""])
+        assert spark.read.parquet(path).count() == 2
+    pairs = spark.createDataFrame([("a b c d e", "f g h i j"), ("x", "y")], "text string, text_b string")
+    ppl = models.perplexities(pairs, lambda: lambda ts: [float(len(t)) for t in ts]).withColumn("ok", boundary.allowed_merge(F.col("ppl_a"), F.col("ppl_b"), F.col("ppl_both"))).collect()
+    assert (ppl[0].ppl_a, ppl[0].ppl_both, ppl[0].ok) == (9.0, 20.0, False) and ppl[1].ppl_a is None and ppl[1].ok
+    crossed = models.cross_scores(pairs, lambda: lambda ps: [0.5 if a < "b" else None for a, _ in ps])
+    assert [r.s for r in crossed.select(boundary.semantic_score(F.lit(0.25), None, F.col("cross_score")).alias("s")).collect()] == [0.75, 0.25]
+    ents = models.entities(spark.createDataFrame([(1, 0, "Acme Corp. met Jane")], "doc_id bigint, idx int, text string"), lambda: lambda ts: [[("Acme Corp.", "ORG"), ("Jane", "PERSON")] for _ in ts]).collect()
+    assert [(r.pos, r.entity_id, r.parent_id) for r in ents] == [(1, "ORG::acme corp", "ORG::corp"), (2, "PERSON::jane", "PERSON::jane")]
+
+
+def test_store_of_entities(spark, tmp_path):
+    path = str(tmp_path / "kg")
+    assert [t.count() for t in graph.load_store(spark, path)] == [0, 0]
+    ents = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "a")], "doc_id bigint, idx int, canonical string")
+    for run in range(2):
+        pairs, index = graph.load_store(spark, path)
+        graph.save_store(path, graph.upsert(pairs, graph.cooccurrence(ents)), index.unionByName(graph.chunk_index(ents, f"r{run}", run)), most=3)
+    pairs, index = graph.load_store(spark, path)
+    assert {(r.a, r.b): r.cnt for r in pairs.collect()} == {("a", "b"): 2, ("b", "a"): 2}
+    assert sorted((r.entity, r.chunk) for r in index.collect()) == [("a", "r0::1::C1"), ("a", "r1::1::C0"), ("a", "r1::1::C1"), ("b", "r0::1::C0"), ("b", "r1::1::C0")]
+    assert graph.store_versions(spark, path) == [0, 1]
+
+
+def test_code_is_scored_as_code(spark):
+    texts = ["def f(x):\n    return {x: 1}", "# heading\ndef g(x):\n    return {x: 2}", "if (a < b) { c(); }"]
+    chunks = spark.createDataFrame([(1, i, t, 30, "code") for i, t in enumerate(texts)], "doc_id bigint, idx int, text string, n_words int, type string")
+    for r in boundary.scores(chunks).collect():
+        assert r.boundary_score == pytest.approx(refine.boundary_score(texts[r.idx - 1], texts[r.idx], r.multiscale, "code"), abs=1e-9)
