@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +42,55 @@ def bucket_cosine(x: Column, y: Column, empty: float = 0.0) -> Column:
     product = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, d: s + times(x, d) * times(y, d))
     norm = F.sqrt(squares(x) * squares(y))
     return F.when((F.size(x) > 0) & (F.size(y) > 0), product / norm).otherwise(F.lit(empty))
+
+
+class _Buckets(dict):
+    """Buckets of tokens by a worker; forgotten when there are many."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[token] = int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % self.dim
+        return found
+
+
+def _cosine(x: Counter, y: Counter) -> float:
+    if not x or not y:
+        return 0.0
+    return sum(n * y[d] for d, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+
+
+def token_cosine(a: Column, b: Column, dim: int) -> Column:
+    """Cosine of the bucket counts of two arrays of tokens, 0 if one is empty: linear in their lengths, where comparing arrays element
+    by element is quadratic. Whole Arrow batches go to Python."""
+    buckets = _Buckets(dim)
+
+    def score(left: pa.Array, right: pa.Array) -> pa.Array:
+        count = lambda v: Counter(buckets[t] for t in v or ())
+        return pa.array([_cosine(count(x), count(y)) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+
+    return F.arrow_udf(score, "double")(a, b)
+
+
+def neighbour_cohesion(sets: Column, share: float, dim: int = 128) -> Column:
+    """Of an array of arrays of distinct tokens, the mean over neighbours of share * min(3 Jaccard, 1) + (1 - share) * bucket cosine;
+    null with fewer than two."""
+    buckets = _Buckets(dim)
+
+    def score(column: pa.Array) -> pa.Array:
+        out = []
+        for items in column.to_pylist():
+            bags = [(set(t), Counter(buckets[x] for x in t)) for t in items or ()]
+            total = 0.0
+            for (a, x), (b, y) in zip(bags, bags[1:]):
+                both = len(a & b)
+                jaccard = both / (len(a) + len(b) - both) if a or b else 0.0
+                total += share * min(3.0 * jaccard, 1.0) + (1.0 - share) * _cosine(x, y)
+            out.append(total / (len(bags) - 1) if len(bags) > 1 else None)
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(score, "double")(sets)

@@ -43,9 +43,13 @@ FUNCTION_WORDS = (
 ).split()
 
 
+#: Unicode's white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
@@ -65,9 +69,9 @@ def tokens(text: Column, least: int = 1) -> Column:
 
 def content_tokens(text: Column, stop: list[str]) -> Column:
     """Tokens of two characters or more that aren't stop words; all tokens if none is left."""
-    every, unwanted = tokens(text), F.array(*[F.lit(w) for w in dict.fromkeys(stop)])
-    kept = F.filter(every, lambda x: (F.length(x) >= 2) & ~F.array_contains(unwanted, x))
-    return F.when(F.size(kept) > 0, kept).otherwise(every)
+    unwanted = list(dict.fromkeys(stop))  # a list of literals becomes a hash set
+    both = F.transform(F.array(tokens(text)), lambda t: F.struct(t.alias("every"), F.filter(t, lambda x: (F.length(x) >= 2) & ~x.isin(*unwanted)).alias("kept")))
+    return F.element_at(F.transform(both, lambda s: F.when(F.size(s["kept"]) > 0, s["kept"]).otherwise(s["every"])), 1)
 
 
 def lines(text: Column) -> Column:

@@ -31,11 +31,11 @@ def bigrams(toks: Column) -> Column:
 
 def prepared(pairs: DataFrame) -> DataFrame:
     """pairs(text, text_b, ...) with the token arrays that the scores read: ta, tb, bigrams ga, gb, function words fa, fb."""
-    words = F.array(*[F.lit(w) for w in tx.FUNCTION_WORDS])
+    words = list(dict.fromkeys(tx.FUNCTION_WORDS))
     step = pairs.withColumns({"ta": tx.tokens(F.col("text")), "tb": tx.tokens(F.col("text_b"))})
     return step.withColumns({
         "ga": bigrams(F.col("ta")), "gb": bigrams(F.col("tb")),
-        "fa": F.filter("ta", lambda t: F.array_contains(words, t)), "fb": F.filter("tb", lambda t: F.array_contains(words, t)),
+        "fa": F.filter("ta", lambda t: t.isin(*words)), "fb": F.filter("tb", lambda t: t.isin(*words)),
     })
 
 

@@ -85,8 +85,7 @@ def spans(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def distinctness(chunks: DataFrame) -> DataFrame:
     """1 minus the mean overlap coefficient of neighbours' content sets; 0.7 for a pair with an empty one, 1 for a single chunk."""
-    unwanted = F.array(*[F.lit(w) for w in STOP_DISTINCT])
-    kept = F.array_distinct(F.filter(tx.tokens(F.col("text"), 3), lambda t: ~F.array_contains(unwanted, t) & ~t.rlike(r"^\p{N}+$")))
+    kept = F.array_distinct(F.filter(tx.tokens(F.col("text"), 3), lambda t: ~t.isin(*STOP_DISTINCT) & ~t.rlike(r"^\p{N}+$")))
     pairs = chunks.select(*KEY, "idx", kept.alias("a")).withColumn("b", F.lead("a").over(order()))
     n = F.least(F.size("a"), F.size("b"))
     value = F.when(n == 0, 0.7).otherwise(1.0 - F.size(F.array_intersect("a", "b")) / n)

@@ -81,9 +81,9 @@ def depth_change(text_b: Column) -> Column:
 def drift(chunks: DataFrame, dim: int = 64) -> DataFrame:
     """(doc_id, idx, drift): 1 minus the cosine of the neighbours' bags of content tokens over buckets."""
     w = Window.partitionBy("doc_id").orderBy("idx")
-    bags = chunks.select("doc_id", "idx", F.transform(tx.content_tokens(F.col("text"), tx.STOP_SIGNALS), lambda t: hashing.bucket(t, dim)).alias("x"))
+    bags = chunks.select("doc_id", "idx", tx.content_tokens(F.col("text"), tx.STOP_SIGNALS).alias("x"))
     pairs = bags.withColumn("y", F.lead("x").over(w)).filter("y is not null")
-    value = F.when((F.size("x") == 0) | (F.size("y") == 0), 0.5).otherwise(tx.clip(1.0 - hashing.bucket_cosine(F.col("x"), F.col("y"))))
+    value = F.when((F.size("x") == 0) | (F.size("y") == 0), 0.5).otherwise(tx.clip(1.0 - hashing.token_cosine(F.col("x"), F.col("y"), dim)))
     return pairs.select("doc_id", "idx", value.alias("drift"))
 
 
