@@ -76,6 +76,12 @@ def token_cosine(a: Column, b: Column, dim: int) -> Column:
     return F.arrow_udf(score, "double")(a, b)
 
 
+def _pair_score(a: tuple[set, Counter], b: tuple[set, Counter], share: float) -> float:
+    both = len(a[0] & b[0])
+    jaccard = both / (len(a[0]) + len(b[0]) - both) if a[0] or b[0] else 0.0
+    return share * min(3.0 * jaccard, 1.0) + (1.0 - share) * _cosine(a[1], b[1])
+
+
 def neighbour_cohesion(sets: Column, share: float, dim: int = 128) -> Column:
     """Of an array of arrays of distinct tokens, the mean over neighbours of share * min(3 Jaccard, 1) + (1 - share) * bucket cosine;
     null with fewer than two."""
@@ -85,12 +91,33 @@ def neighbour_cohesion(sets: Column, share: float, dim: int = 128) -> Column:
         out = []
         for items in column.to_pylist():
             bags = [(set(t), Counter(buckets[x] for x in t)) for t in items or ()]
-            total = 0.0
-            for (a, x), (b, y) in zip(bags, bags[1:]):
-                both = len(a & b)
-                jaccard = both / (len(a) + len(b) - both) if a or b else 0.0
-                total += share * min(3.0 * jaccard, 1.0) + (1.0 - share) * _cosine(x, y)
-            out.append(total / (len(bags) - 1) if len(bags) > 1 else None)
+            out.append(sum(_pair_score(a, b, share) for a, b in zip(bags, bags[1:])) / (len(bags) - 1) if len(bags) > 1 else None)
         return pa.array(out, pa.float64())
 
     return F.arrow_udf(score, "double")(sets)
+
+
+def resampled_cohesion(key: Column, sets: Column, draws: int, share: float, seed: int, dim: int = 128) -> Column:
+    """The same of `draws` resamples of the array, each of its length: draw b takes for place i the element that the md5 of
+    "seed|key|b|i" names. Pairs are scored once, however often they are drawn."""
+    buckets = _Buckets(dim)
+
+    def score(keys: pa.Array, column: pa.Array) -> pa.Array:
+        out = []
+        for k, items in zip(keys.to_pylist(), column.to_pylist()):
+            bags, known, n = [(set(t), Counter(buckets[x] for x in t)) for t in items], {}, len(items)
+            row = []
+            for b in range(1, draws + 1):
+                at = [int(hashlib.md5(f"{seed}|{k}|{b}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+                total = 0.0
+                for x, y in zip(at, at[1:]):
+                    if (x, y) not in known:
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[x, y] = _pair_score(bags[x], bags[y], share)
+                    total += known[x, y]
+                row.append(total / (n - 1))
+            out.append(row)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(score, "array<double>")(key, sets)

@@ -234,4 +234,4 @@ def document_profile(spark, sf_dir):
 
 @register("profile_bootstrap")
 def profile_bootstrap(spark, sf_dir):
-    return pf.bootstrap(docs(spark, sf_dir), samples=20)
+    return pf.bootstrap(docs(spark, sf_dir))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import text as tx
+from tessera.functions import hashing, text as tx
 from tessera.operators import boundary, chunkers, evaluate, graph, profile, refine, retrieval, reward, signals, tune, windows
 from tessera.sources import readers, sinks
 
@@ -413,3 +413,21 @@ def test_code_is_scored_as_code(spark):
     chunks = spark.createDataFrame([(1, i, t, 30, "code") for i, t in enumerate(texts)], "doc_id bigint, idx int, text string, n_words int, type string")
     for r in boundary.scores(chunks).collect():
         assert r.boundary_score == pytest.approx(refine.boundary_score(texts[r.idx - 1], texts[r.idx], r.multiscale, "code"), abs=1e-9)
+
+
+def test_bootstrap_against_plain_draws(spark):
+    import hashlib
+
+    import numpy as np
+
+    texts = [words(120, s) for s in range(3)] + ["One. Two.", "", None]
+    got = {r.doc_id: r for r in profile.bootstrap(frame(spark, texts), 25).collect()}
+    assert set(got) == {0, 1, 2}
+    one = frame(spark, texts[:1]).select(F.transform(profile.token_lists(tx.sentences(F.col("text"))), F.array_distinct).alias("s")).first().s
+    raw, n = [], len(one)
+    for b in range(1, 26):
+        picked = [one[int(hashlib.md5(f"42|0|{b}|{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)]
+        raw.append(spark.createDataFrame([(0, i, p) for i, p in enumerate(picked)], "doc_id bigint, pos int, a array<string>").transform(lambda d: profile.set_cohesion(d, 0.35, ("doc_id",))).first().raw if b <= 3 else None)
+    values = sorted(frame(spark, texts[:1]).select(hashing.resampled_cohesion(F.col("doc_id"), F.transform(profile.token_lists(tx.sentences(F.col("text"))), F.array_distinct), 25, 0.35, 42).alias("r")).first().r)
+    assert all(any(v == pytest.approx(x) for v in values) for x in raw[:3])
+    assert (got[0].ci_low, got[0].ci_high, got[0].std, got[0].samples) == (pytest.approx(np.percentile(values, 2.5)), pytest.approx(np.percentile(values, 97.5)), pytest.approx(np.std(values)), 25)
