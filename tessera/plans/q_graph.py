@@ -39,10 +39,10 @@ def shared_entity_edges(spark, sf_dir):
     return graph.edges(_long(spark, sf_dir))
 
 
-@register("cooccurrence", f"""WITH {sql.CHUNKS}, {SQL_ENTS}, k AS (SELECT DISTINCT doc_id, idx, canonical FROM ents WHERE length(canonical) >= 14)
+@register("cooccurrence", f"""WITH {sql.CHUNKS}, {SQL_ENTS}, k AS (SELECT DISTINCT doc_id, idx, canonical FROM ents)
 SELECT a.canonical AS a, b.canonical AS b, count(*) AS cnt FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.canonical <> b.canonical GROUP BY ALL""")
 def cooccurrence(spark, sf_dir):
-    return graph.cooccurrence(_long(spark, sf_dir).filter(F.length("canonical") >= 14))
+    return graph.cooccurrence(_long(spark, sf_dir))
 
 
 # The operators over the real entities of all lengths; the queries with SQL above run on long words, so that both engines agree.
