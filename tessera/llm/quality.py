@@ -22,6 +22,7 @@ Each document is handled by itself: no shuffle, and memory bounded by an Arrow b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,14 @@ class Limits:
 
 
 _BOILERPLATE, _SEPARATOR, _CLOSED = (regex.compile(x) for x in (BOILERPLATE, r"(?:^|(?<=[ \t]))[|»›•·](?=[ \t]|$)", CLOSED))
-_SYMBOLS, _UPPER = regex.compile(SYMBOLS), regex.compile(UPPER)
-SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+_UPPER = regex.compile(UPPER)
+#: Every match of BOILERPLATE holds one of these once case is folded.
+HINTS = (
+    "all rights reserved", "licensed", "released under the", "under the terms of the", "copyright", "©", "terms of ", "privacy policy", "cookie",
+    "enable javascript", "lorem ipsum", "subscribe to our", "sign up for our", "click here", "back to top", "skip to ",
+)
+#: Bytes of UTF-8: white space and all but the first of a character; A-Z and the first of characters beyond ASCII.
+_NO_CHAR, _MAYBE_UPPER = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0)), bytes(range(65, 91)) + bytes(range(0xC0, 0x100))
 
 FIELDS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_lines", "long"), ("n_removed_lines", "long"), ("lost_chars", "long"), ("cleaned", "string"))
 
@@ -63,12 +70,11 @@ def repeat_words(words: list[bytes]) -> int:
     if n < 4:
         return 0
     number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    v = len(number)
-    pair = ids[:-2] * v + ids[1:-1]
-    if v > 2_000_000:  # three numbers no longer fit into one
+    ids = np.fromiter(map(number.setdefault, words, count()), np.int64, n)  # a word's first place
+    pair = ids[:-2] * n + ids[1:-1]
+    if n > 2_000_000:  # three numbers no longer fit into one
         pair = np.unique(pair, return_inverse=True)[1]
-    _, where, counts = np.unique(pair * v + ids[2:], return_inverse=True, return_counts=True)
+    _, where, counts = np.unique(pair * n + ids[2:], return_inverse=True, return_counts=True)
     again = counts[where] > 1
     covered = np.zeros(n, bool)
     for k in range(3):
@@ -76,19 +82,23 @@ def repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def word_chars(text: str) -> int:
-    return len(text) - sum(map(text.count, SPACES))
+def folded(text: str) -> str:
+    """The text as a case-insensitive pattern reads it."""
+    found = text.casefold()
+    return found if found.isascii() else found.replace("i\u0307", "i").replace("ı", "i")
 
 
-def line_fault(line: str, n_words: int, chars: int, seen: set[str], limits: Limits) -> str | None:
-    if _BOILERPLATE.search(line):
+def line_fault(line: str, raw: bytes, n_words: int, chars: int, seen: set[str], limits: Limits, hinted: bool = True) -> str | None:
+    """raw: the line as UTF-8; hinted: whether one of HINTS may be in it."""
+    if hinted and _BOILERPLATE.search(line):
         return "boilerplate"
-    separators = len(_SEPARATOR.findall(line))
-    if separators >= 3 and 4 * separators >= n_words:
-        return "navigation"
-    if 2 * len(_SYMBOLS.findall(line)) > n_words:
+    if sum(map(line.count, "|»›•·")) >= 3:
+        separators = len(_SEPARATOR.findall(line))
+        if separators >= 3 and 4 * separators >= n_words:
+            return "navigation"
+    if 2 * sum(map(raw.count, b"#*$%&|<>")) > n_words:
         return "symbols"
-    if n_words >= 5 and 2 * len(_UPPER.findall(line)) > chars:
+    if n_words >= 5 and 2 * (len(raw) - len(raw.translate(None, _MAYBE_UPPER))) > chars and 2 * len(_UPPER.findall(line)) > chars:
         return "shouting"
     if line in seen:
         return "repeated"
@@ -100,27 +110,30 @@ def line_fault(line: str, n_words: int, chars: int, seen: set[str], limits: Limi
 def clean(text: str | None, limits: Limits = Limits()) -> tuple:
     """The values of FIELDS."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
-    n, chars = len(words), word_chars(text)
-    repeated = repeat_words(words)
+    raw = text.encode("utf-8", "surrogatepass")
+    low = folded(text)
+    hints = [x for x in HINTS if x in low]
     seen: set[str] = set()
-    kept_lines, lines, lost, duplicates, removed = [], 0, 0, 0, 0
-    for line in text.split("\n"):
-        k = len(line.encode("utf-8", "surrogatepass").split())
-        if not k:
+    words, kept_lines, lines, chars, lost, duplicates, removed = [], [], 0, 0, 0, 0, 0
+    for line, part in zip(text.split("\n"), raw.split(b"\n")):
+        found = part.split()
+        if not found:
             continue
+        words += found
         lines += 1
-        c = word_chars(line)
+        c = len(part.translate(None, _NO_CHAR))
+        chars += c
         duplicates += line in seen
-        if line_fault(line, k, c, seen, limits):
+        if line_fault(line, part, len(found), c, seen, limits, bool(hints)):
             lost += c
             removed += 1
         else:
             kept_lines.append(line)
         seen.add(line)
+    n, repeated = len(words), repeat_words(words)
     failed = n < limits.min_words or 100 * repeated > limits.max_repeat_pct * n
     kept = not failed and 100 * lost <= limits.max_loss_pct * chars
-    return n, chars, sum(map(text.count, "#*$%&|<>")), duplicates, repeated, failed, kept, lines, removed, lost, "\n".join(kept_lines)
+    return n, chars, sum(map(raw.count, b"#*$%&|<>")), duplicates, repeated, failed, kept, lines, removed, lost, "\n".join(kept_lines)
 
 
 def apply_rules(docs: DataFrame, limits: Limits = Limits(), cleaned: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import bigru, chat, common, decontaminate, extraction, htmlmodel, htmltree, lattice, lengths, mixing, neardup, quality, shingles, toxicity, urls
@@ -645,6 +646,25 @@ def test_quality_statistics_against_brute_force(spark):
     assert quality.apply_rules(documents(spark, [])).count() == 0
 
 
+def test_quality_shortcuts_change_nothing():
+    rng = random.Random(3)
+    phrases = "all rights reserved|licensed under|released under the|under the terms of the|is licensed|copyright (c)|copyright ©|copyright 2020|  ©|terms of use|terms of service|privacy policy|cookie policy|uses cookies|accept all cookies|enable javascript|lorem ipsum|subscribe to our|sign up for our|click here|back to top|skip to content|skip to main content".split("|")
+    other = {"s": "sSſ", "k": "kK\u212a", "i": "iIİı"}
+    for k in range(3000):
+        x = "".join(rng.choice(other.get(c, (c, c.upper()))) for c in rng.choice(phrases))
+        line = rng.choice(["", "foo bar. ", "A B C D É Ü ", "| x | y | z ", "ÄÖ ÄÖ ab Ü É "]) + x + rng.choice(["", " bla.", " \ud800 ﬁ.", " # $ % & * |"])
+        hinted = any(h in quality.folded(line) for h in quality.HINTS)
+        assert hinted or not regex.search(quality.BOILERPLATE, line)
+        n, chars = len(re.findall(r"[^\x20\x09-\x0d]+", line)), len(re.sub(r"[\x20\x09-\x0d]", "", line))
+        separators = len(regex.findall(r"(?:^|(?<=[ \t]))[|»›•·](?=[ \t]|$)", line))
+        want = "boilerplate" if regex.search(quality.BOILERPLATE, line) else "navigation" if separators >= 3 and 4 * separators >= n else None
+        want = want or ("symbols" if 2 * len(re.findall(quality.SYMBOLS, line)) > n else "shouting" if n >= 5 and 2 * len(regex.findall(quality.UPPER, line)) > chars else None)
+        want = want or (None if n >= 20 or regex.search(quality.CLOSED, line) else "punctuation")
+        raw = line.encode("utf-8", "surrogatepass")
+        assert quality.line_fault(line, raw, n, chars, set(), quality.Limits(), hinted) == want
+        assert quality.clean(line)[:2] == (n, chars)
+
+
 # 10. Lattice
 
 
