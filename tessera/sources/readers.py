@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.errors import AnalysisException
@@ -10,20 +11,37 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.chunkers import STRATEGIES
+from . import formats
 
 MOST_BYTES = 50 * 1024 * 1024
+PARSED = ("pdf", "docx", "doc")
 # Lines that only number a page.
 PAGE_NUMBER = r"^\s*[-–—]?\s*\d+\s*(?:[-–—]|of\s+\d+)?\s*$"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of at most 50 MB with text: (doc_id, filename, extension, size, text); bytes that aren't UTF-8 are read as Latin-1."""
+def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = formats.pdf_pages, docx: Callable[[bytes], str | None] = formats.docx_text) -> DataFrame:
+    """Files of at most 50 MB with text: (doc_id, filename, extension, size, text). A PDF's pages are joined without running lines and
+    page numbers; a DOCX file's paragraphs are joined, and one that can't be read is decoded like any other file: by its byte order mark, as
+    UTF-8, or else as Latin-1. A name without a dot counts as txt. pdf and docx may be other readers of one file's bytes."""
     raw = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MOST_BYTES)
     name = F.element_at(F.split("path", "/"), -1)
-    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    text = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
-    found = raw.select(F.xxhash64("path").alias("doc_id"), name.alias("filename"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"), F.col("length").alias("size"), text.alias("text"))
-    return found.filter(tx.strip(F.col("text")) != "")
+    extension = F.when(F.contains(name, F.lit(".")), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit("txt"))
+    files = raw.select(F.xxhash64("path").alias("doc_id"), name.alias("filename"), extension.alias("extension"), F.col("length").alias("size"), "content")
+
+    @F.pandas_udf("string")
+    def parsed(extension, content):
+        def one(kind, data):
+            if data is None:
+                return None
+            return formats.join_pages(pdf(data), PAGE_NUMBER) if kind == "pdf" else docx(data)
+
+        return extension.combine(content, one)
+
+    content, mark = F.col("content"), F.hex(F.substring("content", 1, 3))
+    marked = F.when(mark == "EFBBBF", F.try_validate_utf8(F.substring(content, 4, MOST_BYTES).cast("string"))).when(F.startswith(mark, F.lit("FFFE")) | F.startswith(mark, F.lit("FEFF")), F.decode(content, "UTF-16"))
+    decoded = F.coalesce(marked, F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+    rich = F.when(F.col("extension").isin(*PARSED), content)  # other files' bytes don't go to Python
+    return files.select("doc_id", "filename", "extension", "size", F.coalesce(parsed("extension", rich), decoded).alias("text")).filter(tx.strip(F.col("text")) != "")
 
 
 def without_page_numbers(text: Column) -> Column:

@@ -2,13 +2,15 @@
 
 import math
 import random
+import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, text as tx
 from tessera.operators import boundary, chunkers, evaluate, graph, profile, refine, retrieval, reward, signals, tune, windows
-from tessera.sources import readers, sinks
+from tessera.sources import formats, readers, sinks
 
 LEGAL = "CHAPITRE I\n\nArticle 1\nLe contrat est formé. Il lie les parties.\n\nArticle 2 - Objet\n1) premier point de la liste\n2) second point de la liste\n\nArticle 3\n" + "Une phrase assez longue pour remplir. " * 60
 CODE = "import os\n\ndef a(x):\n    return x\n\nclass B:\n    pass\n" * 20
@@ -220,6 +222,79 @@ def test_files_and_config(spark, tmp_path):
         readers.Config().updated(unknown=1)
 
 
+def pdf_file(pages, flate, packed):
+    """A PDF of the content streams, with fonts F1 (simple, with differences) and F2 (composite, with a map); packed: objects in a stream."""
+
+    def stream(x, head=b""):
+        x = zlib.compress(x) if flate else x
+        return b"<< %s /Length %d %s>>\nstream\n%s\nendstream" % (head, len(x), b"/Filter /FlateDecode " if flate else b"", x)
+
+    unicode = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0015> <0041> <0020> <0021> [<00e9> <D83DDE00>] endbfrange"
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages)))
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Kids [%s] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % kids,
+        3: b"<< /Type /Font /Subtype /Type1 /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /fi /eacute] >> >>",
+        4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>",
+        5: stream(unicode),
+    }
+    for k, page in enumerate(pages):
+        objects[10 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * k)
+        objects[11 + 2 * k] = stream(page)
+    if packed:
+        inner = {k: v for k, v in objects.items() if b"stream" not in v}
+        places = [sum(len(v) + 1 for v in list(inner.values())[:i]) for i in range(len(inner))]
+        head = b"".join(b"%d %d " % x for x in zip(inner, places))
+        objects = {k: v for k, v in objects.items() if k not in inner}
+        objects[99] = stream(head + b" ".join(inner.values()), b"/Type /ObjStm /N %d /First %d" % (len(inner), len(head)))
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+PDF_PAGES = [
+    b"BT /F1 12 Tf 72 700 Td (Hello \\(world\\)) Tj 0 -14 Td [(spl) -20 (it) -300 (words \\001\\002)] TJ T* (octal \\351) Tj ET",
+    b"BT /F2 10 Tf 1 0 0 1 72 700 Tm <001000110003001200200021> Tj ET\n% note\nBT /F1 9 Tf 0 0 Td (two) Tj ET",
+]
+
+
+def test_pdf_text():
+    for flate in (False, True):
+        for packed in (False, True):
+            assert formats.pdf_pages(pdf_file(PDF_PAGES, flate, packed)) == ["Hello (world)\nsplit words fié\noctal é", "AB Cé😀\ntwo"]
+    whole = pdf_file(PDF_PAGES, True, False)
+    for k in range(0, len(whole), 7):  # damaged files give what can be read
+        assert all(isinstance(x, str) for x in formats.pdf_pages(whole[:k]) + formats.pdf_pages(whole[:k] + b"\xff((<<[" + whole[k + 9 :]))
+    assert formats.pdf_pages(b"") == formats.pdf_pages(b"/Encrypt 4 0 R " + whole) == []
+
+
+def test_files_are_read_by_their_extension(spark, tmp_path):
+    lines = lambda *x: b"BT /F1 9 Tf " + b" ".join(b"0 -9 Td (%s) Tj" % y for y in x) + b" ET"
+    (tmp_path / "a.PDF").write_bytes(pdf_file([lines(b"Running head", b"body %d" % k, b"- %d -" % k) for k in range(3)], True, True))
+    (tmp_path / "broken.pdf").write_bytes(b"%PDF-1.4 nothing")
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "<w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p/><w:tbl><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tbl><w:p><w:r><w:t>Three</w:t></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+    (tmp_path / "c.doc").write_text("not a zip file")
+    (tmp_path / "noext").write_bytes("\ufeffmärked".encode("utf-8"))
+    (tmp_path / "d.txt").write_bytes("märked".encode("utf-16"))
+    found = readers.read_files(spark, str(tmp_path))
+    assert {r.filename: (r.text, r.extension) for r in found.collect()} == {
+        "a.PDF": ("body 0\n\nbody 1\n\nbody 2", "pdf"), "b.docx": ("One\ttwo\n\nThree", "docx"), "c.doc": ("not a zip file", "doc"), "noext": ("märked", "txt"), "d.txt": ("märked", "txt"),
+    }
+    other = readers.read_files(spark, str(tmp_path), pdf=lambda data: ["x", "y"], docx=lambda data: "z")
+    assert {r.filename: r.text for r in other.filter("extension <> 'txt'").collect()} == {"a.PDF": "x\n\ny", "broken.pdf": "x\n\ny", "b.docx": "z", "c.doc": "z"}
+
+
+def test_running_lines_agree_with_the_table(spark):
+    rng = random.Random(2)
+    docs = [[" \n".join(rng.choice(["head", "foot", "a b", "c", "", "7", "long " * 13]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))] for _ in range(40)]
+    pages = spark.createDataFrame([(i, k, p) for i, d in enumerate(docs) for k, p in enumerate(d)], "doc_id bigint, page int, text string")
+    clean = {(r.doc_id, r.page): r.text for r in readers.strip_repeated_lines(pages).select("doc_id", "page", readers.without_page_numbers(F.col("text")).alias("text")).collect()}
+    for i, d in enumerate(docs):
+        want = "\n".join(clean[i, k] for k in range(len(d)))
+        assert [x for x in formats.join_pages(d, readers.PAGE_NUMBER).split("\n") if x.strip()] == [x for x in want.split("\n") if x.strip()]
+
+
 def test_sinks(spark):
     chunks = spark.createDataFrame([(1, 1, "b\nc", 2, 0.6), (1, 0, "a", 1, 0.9)], "doc_id bigint, idx int, text string, n_words int, score double")
     about = spark.createDataFrame([(1, "prose", "legal")], "doc_id bigint, type string, domain string")
