@@ -35,6 +35,8 @@ from . import common
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_TOKENS = 5_000_000
+#: Tasks for every chunk when chunks meet their words.
+SPREAD = 2
 FRONT = "▁"
 ROUNDS, PRIOR = 2, 0.1
 WORDS_AT_ONCE = 20_000
@@ -307,7 +309,9 @@ def score(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int =
             parts.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(alone), "word_arc_score": pa.array(mine)}))
         return pa.concat_tables(parts) if parts else FINAL.empty_table()
 
-    sides = chunks.select("chunk", "doc_ids", "held_out", "sizes", "codes").groupBy("chunk").cogroup(values.groupBy("of_chunk"))
+    n = SPREAD * max(1, chunks.count())  # a task gets a few chunks, whatever the size of the input
+    mine = chunks.select("chunk", "doc_ids", "held_out", "sizes", "codes").repartition(n, "chunk")
+    sides = mine.groupBy("chunk").cogroup(values.repartition(n, "of_chunk").groupBy("of_chunk"))
     done = sides.applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, word_arc_score double")
     return done.withColumns({"train_tokens": F.lit(total).cast("long"), "train_types": F.lit(types).cast("long")})
 
