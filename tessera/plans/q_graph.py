@@ -11,7 +11,26 @@ from .q_profile import docs
 from .q_signals import chunks
 
 
-@register("entities")
+# RE2 has no look-around: every run of word characters is put between two marks first, so that whole words only are found.
+SQL_NAMED = rf"""bare AS (SELECT doc_id, idx, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g') AS t FROM chunks),
+phrases AS (SELECT doc_id, idx, string_split(replace(replace(regexp_replace(t, '(\x01[A-ZÀ-Ÿ][a-zà-ÿ]+\x02(?:\s+\x01[A-ZÀ-Ÿ][a-zà-ÿ]+\x02){{0,4}})', chr(3) || '\1' || chr(3), 'g'), chr(1), ''), chr(2), ''), chr(3)) AS p FROM bare),
+found AS (SELECT doc_id, idx, k, p[k] AS text, p[k - 1] AS before FROM (SELECT *, unnest(range(2, len(p) + 1, 2)) AS k FROM phrases)),
+named AS (SELECT * FROM found WHERE length(text) > 3 AND NOT list_contains({sql.strings(graph.blocked())}, regexp_split_to_array(text, '\s+')[1])
+  AND NOT (NOT regexp_matches(text, '\s') AND (regexp_matches(before, '[.!?\n]\s+$') OR (k = 2 AND before = '')))),
+once AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY doc_id, idx, lower(text) ORDER BY k) = 1),
+ranked AS (SELECT doc_id, idx, text, row_number() OVER (PARTITION BY doc_id, idx ORDER BY k) AS pos FROM once QUALIFY pos <= 30),
+ents AS (SELECT doc_id, idx, pos, text, regexp_replace(lower(text), '\s+', ' ', 'g') AS canonical FROM ranked),
+k AS (SELECT DISTINCT doc_id, idx, canonical FROM ents)"""
+SQL_RELATED = rf"""said AS (SELECT doc_id, idx, unnest(p) AS s, generate_subscripts(p, 1) AS sent FROM (SELECT doc_id, idx, {sql.parts(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))")} AS p FROM chunks)),
+verbs AS (SELECT *, regexp_extract(lower(s), '(?:^|[^\p{{L}}\p{{N}}_])({"|".join(graph.VERBS)})(?:$|[^\p{{L}}\p{{N}}_])', 1) AS relation FROM said),
+inside AS (SELECT v.doc_id, v.idx, sent, relation, pos, e.text AS e FROM verbs v JOIN ents e ON v.doc_id = e.doc_id AND v.idx = e.idx AND contains(lower(s), lower(e.text)) WHERE relation <> ''),
+firsts AS (SELECT *, row_number() OVER w AS r, first_value(e) OVER w AS head, nth_value(e, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM inside WINDOW w AS (PARTITION BY doc_id, idx, sent ORDER BY pos)),
+made AS (SELECT *, CASE WHEN r = 1 THEN second ELSE head END AS object FROM firsts),
+new AS (SELECT * FROM made WHERE object IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, idx, e, relation, object ORDER BY sent, pos) = 1),
+rels AS (SELECT doc_id, idx, e AS subject, relation, object FROM new QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY sent, pos) <= 30)"""
+
+
+@register("entities", f"""WITH {sql.CHUNKS}, {SQL_NAMED} SELECT doc_id, idx, pos, text, 'ENTITY' AS label, canonical, 'ENTITY::' || canonical AS entity_id, 'ENTITY::' || string_split(canonical, ' ')[-1] AS parent_id FROM ents""")
 def entities(spark, sf_dir):
     return graph.entities(chunks(spark, sf_dir))
 
@@ -45,20 +64,23 @@ def cooccurrence(spark, sf_dir):
     return graph.cooccurrence(_long(spark, sf_dir))
 
 
-# The operators over the real entities of all lengths; the queries with SQL above run on long words, so that both engines agree.
-@register("entity_cooccurrence")
+# The operators over the real entities of all lengths.
+@register("entity_cooccurrence", f"""WITH {sql.CHUNKS}, {SQL_NAMED}
+SELECT a.canonical AS a, b.canonical AS b, count(*) AS cnt FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.idx = b.idx AND a.canonical <> b.canonical GROUP BY ALL""")
 def entity_cooccurrence(spark, sf_dir):
     return graph.cooccurrence(graph.entities(chunks(spark, sf_dir)))
 
 
-@register("entity_edges")
+@register("entity_edges", f"""WITH {sql.CHUNKS}, {SQL_NAMED}, {SQL_RELATED},
+keys AS (SELECT doc_id, idx, canonical AS key, 'shared_entity' AS type FROM k UNION SELECT doc_id, idx, lower(subject) || chr(1) || lower(object), 'relation_bridge' FROM rels)
+SELECT a.doc_id, a.idx AS source, b.idx AS target, count(*) AS weight, list_sort(list(DISTINCT a.type)) AS types FROM keys a JOIN keys b ON a.doc_id = b.doc_id AND a.type = b.type AND a.key = b.key AND a.idx < b.idx GROUP BY ALL""")
 def entity_edges(spark, sf_dir):
     c = chunks(spark, sf_dir)
     ents = graph.entities(c)
     return graph.edges(ents, graph.relations(c, ents))
 
 
-@register("relations")
+@register("relations", f"WITH {sql.CHUNKS}, {SQL_NAMED}, {SQL_RELATED} SELECT * FROM rels")
 def relations(spark, sf_dir):
     c = chunks(spark, sf_dir)
     return graph.relations(c, graph.entities(c))

@@ -218,7 +218,7 @@ SQL_METRICS = f"""metrics AS (SELECT p.doc_id, p.type, len({sql.words('text')})
 SQL_WEIGHTED = " + ".join(f"{m} * (CASE domain " + " ".join(f"WHEN {sql.q(d)} THEN {w[i]}::DOUBLE" for d, w in pf.DOMAIN_WEIGHTS.items()) + f" ELSE {pf.DEFAULT_WEIGHTS[i]}::DOUBLE END)" for i, m in enumerate(pf.METRICS))
 
 
-@register("document_profile", f"""WITH p AS ({SQL_GATE_PARTS}), {SQL_ICC}, {SQL_DCC}, {SQL_SIZES}, {SQL_METRICS}, {SQL_SCORES}, named AS ({SQL_DOMAIN})
+SQL_PROFILE = f"""WITH p AS ({SQL_GATE_PARTS}), {SQL_ICC}, {SQL_DCC}, {SQL_SIZES}, {SQL_METRICS}, {SQL_SCORES}, named AS ({SQL_DOMAIN})
 SELECT doc_id, type, domain, n_tokens, RC, ICC, DCC, BI, SC, (RC + ICC + DCC + BI + SC) / 5.0::DOUBLE AS overall, {SQL_WEIGHTED} AS weighted_overall,
   CASE WHEN ICC >= 0.70 THEN 'strong' WHEN ICC >= 0.40 THEN 'usable' ELSE 'weak' END AS icc_level,
   CASE type WHEN 'code' THEN greatest(30, CASE WHEN n_tokens < 1000 THEN 50 WHEN n_tokens > 10000 THEN 150 ELSE 100 END - 30)
@@ -226,7 +226,10 @@ SELECT doc_id, type, domain, n_tokens, RC, ICC, DCC, BI, SC, (RC + ICC + DCC + B
     ELSE CASE WHEN n_tokens < 1000 THEN 50 WHEN n_tokens > 10000 THEN 150 ELSE 100 END END AS sug_n_min,
   CASE WHEN type = 'code' THEN 300 - CASE WHEN n_tokens < 1000 THEN 50 ELSE 0 END WHEN n_tokens < 1000 THEN 250 WHEN n_tokens > 10000 THEN 600 ELSE 500 END AS sug_n_max,
   CASE WHEN ICC > 0.60 THEN 0.10::DOUBLE WHEN ICC < 0.30 THEN 0.20::DOUBLE ELSE 0.15::DOUBLE END AS sug_tau_low, CASE WHEN RC > 0.80 THEN 0.40::DOUBLE ELSE 0.45::DOUBLE END AS sug_tau_high
-FROM metrics JOIN named USING (doc_id)""")
+FROM metrics JOIN named USING (doc_id)"""
+
+
+@register("document_profile", SQL_PROFILE)
 def document_profile(spark, sf_dir):
     found = pf.profiles(docs(spark, sf_dir))
     return found.select("doc_id", "type", "domain", F.col("n_tokens").cast("long").alias("n_tokens"), *pf.METRICS, "overall", "weighted_overall", pf.metric_level(F.col("ICC")).alias("icc_level"), "sug_n_min", "sug_n_max", "sug_tau_low", "sug_tau_high")

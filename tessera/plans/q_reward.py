@@ -10,8 +10,8 @@ from ..operators import boundary, embed, graph, profile, report, retrieval, rewa
 from . import sql
 from .catalog import register
 from .q_evaluate import SQL_ARTICLES, _sql_separation, as_articles, joined_articles
-from .q_graph import SQL_BOW, SQL_TOPIC
-from .q_profile import SQL_BALANCE, SQL_CUES, SQL_DOMAIN, SQL_GATE_PARTS, SQL_SCORES, SQL_TYPE, docs
+from .q_graph import SQL_BOW, SQL_NAMED, SQL_RELATED, SQL_TOPIC
+from .q_profile import SQL_BALANCE, SQL_CUES, SQL_DOMAIN, SQL_GATE_PARTS, SQL_PROFILE, SQL_SCORES, SQL_TYPE, docs
 from .q_signals import SQL_DIST, SQL_ICC, SQL_PMI, SQL_THRESHOLDS, chunks
 
 
@@ -114,7 +114,8 @@ def run_details(spark, sf_dir):
     return report.run_details(j)
 
 
-@register("entity_graph_nodes")
+@register("entity_graph_nodes", f"""WITH {sql.CHUNKS}, {SQL_NAMED}, {SQL_RELATED}
+SELECT doc_id, idx AS id, 'C' || idx AS label, (SELECT count(*) FROM ents e WHERE e.doc_id = c.doc_id AND e.idx = c.idx) AS entity_count, (SELECT count(*) FROM rels r WHERE r.doc_id = c.doc_id AND r.idx = c.idx) AS relation_count FROM chunks c""")
 def entity_graph_nodes(spark, sf_dir):
     c = chunks(spark, sf_dir)
     ents = graph.entities(c)
@@ -145,7 +146,12 @@ def embedding_retrieval_metrics(spark, sf_dir):
     return retrieval.ranking_metrics(c, embed.neighbour_scores(c))
 
 
-@register("metric_levels")
+_LEVEL = "CASE WHEN score >= 0.70 THEN 'strong' WHEN score >= 0.40 THEN 'usable' ELSE 'weak' END"
+_REASON = "CASE " + " ".join(f"WHEN metric = {sql.q(m)} AND level = {sql.q(k)} THEN {sql.q(v)}" for m, levels in report.REASONS.items() for k, v in levels.items()) + " ELSE 'Metric computed from document structure and content.' END"
+
+
+@register("metric_levels", f"""WITH prof AS ({SQL_PROFILE}), each AS (SELECT doc_id, unnest([{", ".join(f"{{'metric': '{m}', 'score': {m}}}" for m in profile.METRICS)}]) AS x FROM prof),
+judged AS (SELECT doc_id, x.metric AS metric, x.score AS score, {_LEVEL} AS level FROM each) SELECT *, {_REASON} AS reason FROM judged""")
 def metric_levels(spark, sf_dir):
     return report.metric_levels(profile.profiles(docs(spark, sf_dir)))
 
