@@ -236,7 +236,8 @@ def _named(docs: DataFrame, threshold: float, bands: int, rows: int, agree: floa
         nodes = keep(nodes, "nodes")
         units = keep(candidate_units(nodes.select("node", "total", F.explode("keys").alias("key")), nodes, agree, threshold), "units")
         wanted = nodes.join(units.select("node").distinct(), "node", "left_semi").select("node", "digest")
-        texts = docs.select(F.md5(F.col("text").cast("binary")).alias("digest"), "text").join(wanted, "digest").dropDuplicates(["digest"]).select("node", "text")
+        # Copies go before they are shuffled, one of each stays in a task: a text of very many copies fills no task.
+        texts = docs.select(F.md5(F.col("text").cast("binary")).alias("digest"), "text").dropDuplicates(["digest"]).join(wanted, "digest").select("node", "text")
         links = verified_links(units, texts, weights, threshold)
         # Rows of one id are one document.
         by_id = marked.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("hi")).filter("v <> hi").drop("hi")
