@@ -530,6 +530,28 @@ def test_difference_and_threshold_against_brute_force(spark, monkeypatch):
     assert 0 <= ratio.false_block <= 1 and 4 * ratio.false_block + 1 - ratio.caught <= 1
 
 
+def test_all_accepted_urls_teach_the_models(spark):
+    n = 4300
+    rows = [(i, f"https://{'th' * (1 + i % 3)}er{'aeiou'[i % 5]}{'nst'[i // 5 % 3]}.site.net/de/{i}") for i in range(n)] + [(n, "https://x.example.net/de/8/"), (n + 1, "https://THera.example.net/fr/1")]
+    model = urls.fit(urls.with_parts(spark.createDataFrame(rows, "page_id bigint, url string")))
+    ends = model.counts.filter(F.col("gram") == "\x03").first()  # one in every text
+    assert ends.good == round(n * (1 - model.false_block)) > 4000 and ends.bad == 5 * ends.good
+
+
+@pytest.mark.parametrize("hosts", [1, 9])
+def test_counted_in_spark_as_on_the_driver(spark, hosts):
+    rows = [(i, f"https://{'aeiou'[i % hosts % 5]}th{i % hosts}.net/de/{i * 7}") for i in range(40)] + [(90, None), (91, "x://"), (92, "http://warez.org/\U0001f600"), (93, "http://bitcoin-7.eth1.com/fr/" + "b" * 300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    parts = urls.with_parts(df)
+    small, large = urls.fit(parts, names=50), urls.fit(parts, on_driver=0, block_grams=900, names=50)
+    assert isinstance(small, urls.Ratio) and isinstance(large, urls.Counted) and sum(1 for _ in large.blocks()) > 1
+    assert (large.threshold, large.caught, large.false_block) == pytest.approx((small.threshold, small.caught, small.false_block))
+    want = {r.page_id: small.difference(r.host, r.path) for r in parts.collect()}
+    for model in (small, large):
+        got = {r.page_id: r.difference for r in urls.judge(df, model=model).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_hosts_paths_and_rules_against_sql(spark):
     import duckdb
 
