@@ -1,14 +1,15 @@
 """Lexical boundary scores between neighbouring chunks (S4), coherence inside chunks.
 
-Pair scores are column expressions over two texts; multi-scale scores build the texts around a boundary with window frames.
+Pair scores are column expressions over two texts; what is scored of whole chunk lists is measured where their document is (`measures`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text as tx
+from ..functions import text as tx
+from . import measures
 
 # Weights of the composite score.
 WEIGHTS = {"bleu": 0.25, "syntactic": 0.20, "token_type": 0.15, "structural": 0.20, "semantic": 0.20}
@@ -89,53 +90,23 @@ def structural_code(a: Column, b: Column) -> Column:
 def multiscale(chunks: DataFrame, scales: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(doc_id, idx, multiscale) of the boundary on the left of every chunk but the first: the mean lexical score of the texts of
     one, two and three chunks on either side."""
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    sides = []
-    for k in scales:
-        left = F.array_join(F.collect_list("text").over(order.rowsBetween(-k, -1)), " ")
-        right = F.array_join(F.collect_list("text").over(order.rowsBetween(0, k - 1)), " ")
-        sides.append(F.struct(left.alias("text"), right.alias("text_b")))
-    first = F.row_number().over(order)
-    wide = chunks.select("doc_id", "idx", F.array(*sides).alias("sides"), first.alias("r")).filter("r > 1")
-    each = prepared(wide.select("doc_id", "idx", F.explode("sides").alias("s")).select("doc_id", "idx", "s.text", "s.text_b"))
-    return each.groupBy("doc_id", "idx").agg(F.avg(lexical()).alias("multiscale"))
+    return measures.measure(chunks, ("multiscale",), "before", scales=scales)
+
+
+PARTS = ("bleu", "syntactic", "token_type", "structural", "semantic", "multiscale")
 
 
 def scores(chunks: DataFrame, merge_weight: float = 1.0, dim: int = 128) -> DataFrame:
     """The composite score and its parts, of the boundary on the left of every chunk but a document's first. Chunks of a type (code,
     table, mixed, prose; prose without that column) are held against each other as such."""
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    kind = F.col("type") if "type" in chunks.columns else F.lit("prose")
-    pairs = chunks.select("doc_id", "idx", kind.alias("kind"), F.lag("text").over(order).alias("text"), F.col("text").alias("text_b")).filter("text is not null")
-    typed = "type" in chunks.columns
-    step = prepared(pairs).withColumns({"xa": F.transform("ta", lambda t: hashing.bucket(t, dim)), "xb": F.transform("tb", lambda t: hashing.bucket(t, dim))})
-    a, b = F.col("text"), F.col("text_b")
-    syntactic, structural = syntactic_overlap(), structural_prose(a, b)
-    if typed:
-        syntactic = F.when(F.col("kind") == "code", operator_overlap(a, b)).otherwise(syntactic)
-        structural = F.when(F.col("kind").isin("code", "mixed", "table"), structural_code(a, b)).otherwise(structural)
-    parts = step.select("doc_id", "idx", ngram_precision().alias("bleu"), syntactic.alias("syntactic"), token_types().alias("token_type"), structural.alias("structural"), hashing.bucket_cosine(F.col("xa"), F.col("xb")).alias("semantic"))
-    joined = parts.join(multiscale(chunks), ["doc_id", "idx"])
-    total = sum((WEIGHTS[k] * F.col(k) for k in ("bleu", "syntactic", "token_type", "structural")), F.lit(0.0)) + WEIGHTS["semantic"] * (F.col("semantic") + F.col("multiscale")) / 2.0
-    return joined.withColumn("boundary_score", tx.clip(total * merge_weight))
-
-
-def units(text: Column) -> Column:
-    """Numbered paragraphs, else paragraphs, else sentences, of four words or more."""
-    def long(split: Column) -> Column:
-        return F.filter(F.transform(split, tx.strip), lambda x: F.size(tx.words(x)) >= 4)
-
-    numbered, paragraphs = long(F.split(text, r"(?U)\n+(?=\s*\d+\)\s)")), long(F.split(text, "\n{2,}"))
-    sentences = long(F.split(text, r"(?U)(?<=[.!?])\s+"))
-    return F.when(F.size(numbered) >= 2, numbered).when(F.size(paragraphs) >= 2, paragraphs).otherwise(sentences)
+    found = measures.measure(chunks, (*PARTS, "boundary_score"), "before", wide=dim)
+    return found.withColumn("boundary_score", tx.clip(F.col("boundary_score") * merge_weight))
 
 
 def coherence(chunks: DataFrame) -> DataFrame:
-    """(doc_id, idx, icc): mean Jaccard similarity of a chunk's successive units; 0.5 with fewer than two."""
-    placed = chunks.select("doc_id", "idx", F.posexplode(units(F.col("text"))).alias("pos", "u")).withColumn("a", F.array_distinct(tx.tokens(F.col("u"))))
-    pairs = placed.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id", "idx").orderBy("pos"))).filter("b is not null")
-    found = pairs.groupBy("doc_id", "idx").agg(F.avg(tx.jaccard(F.col("a"), F.col("b"))).alias("raw"))
-    return chunks.select("doc_id", "idx").join(found, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("raw", F.lit(0.5)).alias("icc"))
+    """(doc_id, idx, icc): mean Jaccard similarity of a chunk's successive units; 0.5 with fewer than two. Units are numbered paragraphs,
+    else paragraphs, else sentences, of four words or more."""
+    return measures.measure(chunks, ("icc",))
 
 
 def semantic_score(pair: Column, embedding_cosine: Column | None = None, cross_encoder: Column | None = None) -> Column:

@@ -1,18 +1,16 @@
 """Boundary signals between neighbouring chunks (S3): distribution distances, shared concepts, depth, drift, sentence entropy.
 
-chunks(doc_id, idx, text); the boundary idx lies between chunks idx and idx + 1. Distances over token distributions are one
-aggregation: a chunk's token counts go to the boundary on either side, and are joined there by grouping.
+chunks(doc_id, idx, text), or packed, a row a document; the boundary idx lies between chunks idx and the next one. What is measured
+between chunks is measured where their document is (`measures`).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text as tx
-from .windows import with_next
+from ..functions import text as tx
+from . import measures
 
 # Markers of the first line, and how deep they lie.
 DEPTHS = (
@@ -27,46 +25,14 @@ DEPTHS = (
 HYBRID = {"jsd": 0.25, "hellinger": 0.20, "entropy_rate": 0.15, "pmi_drop": 0.20, "depth_change": 0.12, "drift": 0.08}
 
 
-def pair_distances(items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """items(keys, idx, toks) -> (keys, idx, jsd, hellinger) for every two neighbours of which both have tokens. JSD is in nats."""
-    counted = items.select(*keys, "idx", F.size("toks").alias("n"), F.explode("toks").alias("tok")).groupBy(*keys, "idx", "n", "tok").agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / F.col("n")
-    sides = F.array(
-        F.struct(F.col("idx").alias("b"), share.alias("p"), F.lit(0.0).alias("q")),
-        F.struct((F.col("idx") - 1).alias("b"), F.lit(0.0).alias("p"), share.alias("q")),
-    )
-    joined = counted.select(*keys, "tok", F.explode(sides).alias("s")).groupBy(*keys, F.col("s.b").alias("idx"), "tok").agg(F.sum("s.p").alias("p"), F.sum("s.q").alias("q"))
-    m = (F.col("p") + F.col("q")) / 2.0
-    term = lambda x: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / m)).otherwise(0.0)
-    root = F.pow(F.sqrt("p") - F.sqrt("q"), F.lit(2.0))
-    found = joined.groupBy(*keys, "idx").agg(F.sum(0.5 * term("p") + 0.5 * term("q")).alias("jsd"), F.sqrt(F.sum(root)).alias("h"), F.max("p").alias("left"), F.max("q").alias("right"))
-    both = found.filter((F.col("left") > 0) & (F.col("right") > 0))
-    return both.select(*keys, "idx", tx.clip(F.col("jsd")).alias("jsd"), tx.clip(F.col("h") / math.sqrt(2.0)).alias("hellinger"))
-
-
 def distances(chunks: DataFrame) -> DataFrame:
-    """(doc_id, idx, jsd, hellinger) of every boundary; 0.5 where a side has no token."""
-    toks = chunks.select("doc_id", "idx", tx.tokens(F.col("text")).alias("toks"))
-    last = F.max("idx").over(Window.partitionBy("doc_id"))
-    every = toks.select("doc_id", "idx").withColumn("last", last).filter("idx < last").drop("last")
-    return every.join(pair_distances(toks, ("doc_id",)), ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("jsd", F.lit(0.5)).alias("jsd"), F.coalesce("hellinger", F.lit(0.5)).alias("hellinger"))
-
-
-def top_terms(chunks: DataFrame, k: int = 8) -> DataFrame:
-    """(doc_id, idx, terms): the k most frequent content tokens, earlier ones first among equals."""
-    placed = chunks.select("doc_id", "idx", F.posexplode(tx.content_tokens(F.col("text"), tx.STOP_SIGNALS)).alias("pos", "tok"))
-    counted = placed.groupBy("doc_id", "idx", "tok").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("first"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy(F.desc("c"), "first"))).filter(F.col("r") <= k)
-    return ranked.groupBy("doc_id", "idx").agg(F.collect_list("tok").alias("terms"))
+    """(doc_id, idx, jsd, hellinger) of every boundary; 0.5 where a side has no token. JSD is in nats."""
+    return measures.measure(chunks, ("jsd", "hellinger"), "next")
 
 
 def pmi_drop(chunks: DataFrame, k: int = 8) -> DataFrame:
     """(doc_id, idx, pmi_drop): 1 minus the Jaccard similarity of the neighbours' top terms; 0.5 where a side has none."""
-    terms = chunks.select("doc_id", "idx").join(top_terms(chunks, k), ["doc_id", "idx"], "left")
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    pairs = terms.withColumns({"b": F.lead("terms").over(w), "next": F.lead("idx").over(w)}).filter("next is not null")
-    value = F.when(F.col("terms").isNull() | F.col("b").isNull(), 0.5).otherwise(1.0 - tx.jaccard(F.col("terms"), F.col("b")))
-    return pairs.select("doc_id", "idx", value.alias("pmi_drop"))
+    return measures.measure(chunks, ("pmi_drop",), "next", top=k)
 
 
 def depth_change(text_b: Column) -> Column:
@@ -80,32 +46,17 @@ def depth_change(text_b: Column) -> Column:
 
 def drift(chunks: DataFrame, dim: int = 64) -> DataFrame:
     """(doc_id, idx, drift): 1 minus the cosine of the neighbours' bags of content tokens over buckets."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    bags = chunks.select("doc_id", "idx", tx.content_tokens(F.col("text"), tx.STOP_SIGNALS).alias("x"))
-    pairs = bags.withColumn("y", F.lead("x").over(w)).filter("y is not null")
-    value = F.when((F.size("x") == 0) | (F.size("y") == 0), 0.5).otherwise(tx.clip(1.0 - hashing.token_cosine(F.col("x"), F.col("y"), dim)))
-    return pairs.select("doc_id", "idx", value.alias("drift"))
+    return measures.measure(chunks, ("drift",), "next", small=dim)
 
 
 def entropy_rate(chunks: DataFrame) -> DataFrame:
     """(doc_id, idx, entropy_rate): mean JSD of successive sentences of both chunks together; 0 with fewer than two sentences."""
-    pairs = with_next(chunks).select("doc_id", F.col("idx").alias("boundary"), tx.signal_sentences(F.concat("text", F.lit("\n\n"), "text_b")).alias("s"))
-    sentences = pairs.select("doc_id", "boundary", F.posexplode("s").alias("idx", "x")).select("doc_id", "boundary", "idx", tx.tokens(F.col("x")).alias("toks"))
-    between = pair_distances(sentences, ("doc_id", "boundary")).select("doc_id", "boundary", "idx", "jsd")
-    every = pairs.select("doc_id", "boundary", F.size("s").alias("n"))
-    sums = between.groupBy("doc_id", "boundary").agg(F.sum("jsd").alias("jsd"), F.count(F.lit(1)).alias("k"))
-    gaps = F.col("n") - 1
-    value = (F.coalesce("jsd", F.lit(0.0)) + 0.5 * (gaps - F.coalesce("k", F.lit(0)))) / gaps
-    return every.join(sums, ["doc_id", "boundary"], "left").select("doc_id", F.col("boundary").alias("idx"), F.when(F.col("n") < 2, 0.0).otherwise(tx.clip(value)).alias("entropy_rate"))
+    return measures.measure(chunks, ("entropy_rate",), "next")
 
 
 def features(chunks: DataFrame) -> DataFrame:
     """All six signals and the hybrid of every boundary."""
-    on = ["doc_id", "idx"]
-    depth = with_next(chunks).select(*on, depth_change(F.col("text_b")).alias("depth_change"))
-    joined = depth.join(distances(chunks), on).join(pmi_drop(chunks), on).join(drift(chunks), on).join(entropy_rate(chunks), on)
-    hybrid = tx.clip(sum((w * F.col(k) for k, w in HYBRID.items()), F.lit(0.0)))
-    return joined.withColumn("hybrid", hybrid)
+    return measures.measure(chunks, ("depth_change", "jsd", "hellinger", "pmi_drop", "drift", "entropy_rate", "hybrid"), "next")
 
 
 def thresholds(signals: DataFrame, signal: str = "hybrid", low: float = 25, high: float = 75) -> DataFrame:

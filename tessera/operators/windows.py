@@ -19,6 +19,11 @@ def sliding_window(docs: DataFrame, size: int = 100, overlap: int = 0) -> DataFr
     return placed.select("doc_id", "idx", F.array_join(part, " ").alias("text"), F.size(part).alias("n_words"))
 
 
+def lists(docs: DataFrame, size: int = 100, overlap: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same chunks as a row a document, (doc_id, text, window, step, keep), for `measures`: texts are cut where they are measured."""
+    return docs.select("doc_id", "text", F.lit(size).alias("window"), F.lit(max(1, size - overlap)).alias("step"), *keep)
+
+
 def with_next(chunks: DataFrame) -> DataFrame:
     """Every chunk but a document's last, with its successor's text: (doc_id, idx, text, n_words, text_b)."""
     from pyspark.sql import Window

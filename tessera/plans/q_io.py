@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boundary, profile, signals
+from ..operators import measures, profile
 from ..sources import readers, sinks
 from . import sql
 from .catalog import register
 from .q_profile import SQL_TYPE, docs
-from .q_signals import SQL_COMPOSITE, SQL_DIST, SQL_ICC, SQL_MULTI, SQL_PAIRS, SQL_THRESHOLDS, chunks
+from .q_signals import SQL_COMPOSITE, SQL_DIST, SQL_ICC, SQL_MULTI, SQL_PAIRS, SQL_THRESHOLDS, chunks, lists
 
 
 #: Scored chunks: the boundary on a chunk's left (S4), coherence and the distance to the next chunk.
@@ -22,12 +22,9 @@ scored AS (SELECT c.doc_id, c.idx, c.text, c.n_words, coalesce(jsd, 0.0::DOUBLE)
 
 
 def _scored(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    on = ["doc_id", "idx"]
-    distances = signals.distances(c)
-    j = c.join(distances, on, "left").join(boundary.coherence(c), on, "left").join(boundary.scores(c).select(*on, "boundary_score"), on, "left").join(signals.boundary_types(c, distances, "jsd"), on)
+    j = measures.measure(lists(spark, sf_dir), ("text", "n_words", "jsd", "icc", "boundary_score", "boundary_type"))
     jsd = F.coalesce("jsd", F.lit(0.0))
-    return j.select(*on, "text", "n_words", jsd.alias("jsd"), "boundary_score", "boundary_type", sinks.chunk_score(F.col("boundary_score"), F.col("icc"), jsd).alias("score"))
+    return j.select("doc_id", "idx", "text", "n_words", jsd.alias("jsd"), "boundary_score", "boundary_type", sinks.chunk_score(F.col("boundary_score"), F.col("icc"), jsd).alias("score"))
 
 
 def _exported(spark, sf_dir):

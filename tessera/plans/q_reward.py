@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import boundary, embed, graph, profile, report, retrieval, reward, signals
+from ..operators import boundary, embed, graph, measures, profile, report, retrieval, reward, windows
 from . import sql
 from .catalog import register
 from .q_evaluate import SQL_ARTICLES, _sql_separation, as_articles, joined_articles
 from .q_graph import SQL_BOW, SQL_NAMED, SQL_RELATED, SQL_TOPIC
 from .q_profile import SQL_BALANCE, SQL_CUES, SQL_DOMAIN, SQL_GATE_PARTS, SQL_PROFILE, SQL_SCORES, SQL_TYPE, docs
-from .q_signals import SQL_DIST, SQL_ICC, SQL_PMI, SQL_THRESHOLDS, chunks
+from .q_signals import SQL_DIST, SQL_ICC, SQL_PMI, SQL_THRESHOLDS, chunks, lists
 
 
 def _sql_probes(source: str) -> str:
@@ -50,11 +50,13 @@ cov AS (SELECT d.doc_id, coalesce(c, 0.5::DOUBLE) AS coverage FROM (SELECT DISTI
   (SELECT p.doc_id, avg(CASE WHEN len(t) = 0 THEN 0.5::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END) AS c FROM pterms p LEFT JOIN pbest b ON b.doc_id = p.doc_id AND b.pos = p.pos GROUP BY p.doc_id) USING (doc_id))"""
 
 
+def windowed(spark, sf_dir, strategy):
+    """(doc_id, strategy) of every window, without its text."""
+    return windows.sliding_window(docs(spark, sf_dir)).select("doc_id", F.lit(strategy).alias("strategy"))
+
+
 def _judged(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    on = ["doc_id", "idx"]
-    j = c.join(boundary.coherence(c), on, "left").join(signals.pmi_drop(c), on, "left").join(signals.boundary_types(c, signals.distances(c), "jsd"), on)
-    return j.withColumn("strategy", F.lit("plain"))
+    return measures.measure(lists(spark, sf_dir), ("text", "n_words", "icc", "pmi_drop", "jsd", "boundary_type")).withColumn("strategy", F.lit("plain"))
 
 
 @register("probe_coverage", f"WITH {sql.CHUNKS}, {SQL_PROBES}, {SQL_JUDGED}, {SQL_COVERED} SELECT doc_id, coverage FROM cov")
@@ -80,14 +82,13 @@ def reward_components(spark, sf_dir):
 @register("chunk_summary", rf"""WITH {sql.CHUNKS}, {SQL_JUDGED} SELECT j.doc_id, j.strategy, j.idx, c.n_words, boundary_type, 0.0::DOUBLE AS signal, coalesce(d.jsd, 0.0::DOUBLE) AS jsd,
   substr({sql.strip(r"regexp_replace(c.text, '\s+', ' ', 'g')")}, 1, 240) AS preview FROM judged j JOIN chunks c USING (doc_id, idx) LEFT JOIN distances d USING (doc_id, idx)""")
 def chunk_summary(spark, sf_dir):
-    j = _judged(spark, sf_dir).join(signals.distances(chunks(spark, sf_dir)), ["doc_id", "idx"], "left")
-    return report.summary(j.withColumn("signal", F.lit(None).cast("double")))
+    return report.summary(_judged(spark, sf_dir).withColumn("signal", F.lit(None).cast("double")))
 
 
 @register("signal_series", f"WITH {sql.CHUNKS}, {SQL_DIST} SELECT doc_id, 'plain' AS strategy, list(coalesce(round(jsd, 6), 0.0::DOUBLE) ORDER BY idx) AS series FROM chunks LEFT JOIN distances USING (doc_id, idx) GROUP BY doc_id")
 def signal_series(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return report.signal_series(c.join(signals.distances(c), ["doc_id", "idx"], "left").withColumns({"strategy": F.lit("plain"), "signal": F.round("jsd", 6)}))
+    found = measures.series(lists(spark, sf_dir), "jsd")
+    return found.select("doc_id", F.lit("plain").alias("strategy"), F.transform("series", lambda x: F.coalesce(F.round(x, 6), F.lit(0.0))).alias("series"))
 
 
 @register("stage_stats", f"""WITH {sql.CHUNKS}, {SQL_JUDGED} SELECT j.doc_id, j.strategy, count(*) AS initial_count, count(*) AS final_count, CAST(0 AS BIGINT) AS merged_count, count(*) FILTER (WHERE boundary_type = 'hard') AS hard_count,
@@ -95,22 +96,21 @@ def signal_series(spark, sf_dir):
   FROM judged j LEFT JOIN distances d USING (doc_id, idx) GROUP BY j.doc_id, j.strategy""")
 def stage_stats(spark, sf_dir):
     """Of the windows before refinement, none of which is merged; refined_stats has the others."""
-    j = _judged(spark, sf_dir).join(signals.distances(chunks(spark, sf_dir)), ["doc_id", "idx"], "left").withColumns({"n_merged": F.lit(0), "signal": F.col("jsd")})
-    return report.stage_stats(j, j)
+    found = measures.measure(lists(spark, sf_dir), ("jsd", "boundary_type")).withColumns({"strategy": F.lit("plain"), "n_merged": F.lit(0)})
+    return report.stage_stats(found.withColumnRenamed("jsd", "signal"), windowed(spark, sf_dir, "plain"))
 
 
 @register("refined_stats")
 def refined_stats(spark, sf_dir):
     from ..operators import refine
 
-    c = chunks(spark, sf_dir).withColumn("strategy", F.lit("sliding_window"))
-    return report.stage_stats(refine.refine(c), c)
+    refined = refine.refine(lists(spark, sf_dir).withColumn("strategy", F.lit("sliding_window")))
+    return report.stage_stats(refined, windowed(spark, sf_dir, "sliding_window"))
 
 
 @register("run_details", f"""WITH {sql.CHUNKS}, {SQL_ICC} SELECT doc_id, 'plain' AS strategy, count(*) AS chunk_count, avg(n_words) AS mean_words, 0.0::DOUBLE AS mean_boundary_score, avg(icc) AS mean_icc, CAST(0 AS BIGINT) AS entity_count FROM chunks JOIN iccs USING (doc_id, idx) GROUP BY doc_id""")
 def run_details(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    j = c.join(boundary.coherence(c), ["doc_id", "idx"]).withColumns({"strategy": F.lit("plain"), "boundary_score": F.lit(None).cast("double")})
+    j = measures.measure(lists(spark, sf_dir), ("text", "icc")).withColumns({"strategy": F.lit("plain"), "boundary_score": F.lit(None).cast("double")})
     return report.run_details(j)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import boundary, signals, windows
+from ..operators import boundary, measures, signals, windows
 from . import sql
 from .catalog import register
 from .q_profile import docs
@@ -16,6 +16,11 @@ def chunks(spark, sf_dir):
     return windows.sliding_window(docs(spark, sf_dir))
 
 
+def lists(spark, sf_dir, *keep):
+    """The same chunks, a row a document."""
+    return windows.lists(docs(spark, sf_dir), keep=keep)
+
+
 SQL_DIST = f"""tf AS (SELECT doc_id, idx, tok, count(*)::DOUBLE / any_value(n) AS p FROM (
     SELECT doc_id, idx, len({sql.tokens('text')}) AS n, unnest({sql.tokens('text')}) AS tok FROM chunks) GROUP BY doc_id, idx, tok),
 pairs AS (SELECT doc_id, idx FROM chunks SEMI JOIN (SELECT doc_id, idx - 1 AS idx FROM chunks) USING (doc_id, idx)),
@@ -28,12 +33,12 @@ distances AS (SELECT doc_id, idx, coalesce(jsd, 0.5::DOUBLE) AS jsd, coalesce(he
 
 @register("jsd_adjacent", f"WITH {sql.CHUNKS}, {SQL_DIST} SELECT doc_id, idx, jsd FROM distances")
 def jsd_adjacent(spark, sf_dir):
-    return signals.distances(chunks(spark, sf_dir)).select("doc_id", "idx", "jsd")
+    return signals.distances(lists(spark, sf_dir)).select("doc_id", "idx", "jsd")
 
 
 @register("hellinger_adjacent", f"WITH {sql.CHUNKS}, {SQL_DIST} SELECT doc_id, idx, hellinger FROM distances")
 def hellinger_adjacent(spark, sf_dir):
-    return signals.distances(chunks(spark, sf_dir)).select("doc_id", "idx", "hellinger")
+    return signals.distances(lists(spark, sf_dir)).select("doc_id", "idx", "hellinger")
 
 
 SQL_PMI = f"""toks AS (SELECT doc_id, idx, unnest(c) AS tok, generate_subscripts(c, 1) AS pos FROM (SELECT doc_id, idx, {sql.content('text', tx.STOP_SIGNALS)} AS c FROM chunks)),
@@ -45,7 +50,7 @@ pmi AS (SELECT a.doc_id, a.idx, CASE WHEN a.terms IS NULL OR b.terms IS NULL THE
 
 @register("pmi_drop", f"WITH {sql.CHUNKS}, {SQL_PMI} SELECT doc_id, idx, pmi_drop FROM pmi")
 def pmi_drop(spark, sf_dir):
-    return signals.pmi_drop(chunks(spark, sf_dir))
+    return signals.pmi_drop(lists(spark, sf_dir))
 
 
 SQL_DEPTH = "CASE " + " ".join(f"WHEN regexp_matches(trim(b.text), {sql.q('(?i)' + p)}) THEN {1.0 - (d - 1) / 6.0}::DOUBLE" for p, d in signals.DEPTHS) + " ELSE 0.0::DOUBLE END"
@@ -70,7 +75,7 @@ drifts AS (SELECT a.doc_id, a.idx, CASE WHEN len(a.x) = 0 OR len(b.x) = 0 THEN 0
 
 @register("drift", f"WITH {sql.CHUNKS}, {SQL_DRIFT} SELECT doc_id, idx, drift FROM drifts")
 def drift(spark, sf_dir):
-    return signals.drift(chunks(spark, sf_dir))
+    return signals.drift(lists(spark, sf_dir))
 
 
 SQL_ENTROPY = rf"""both_texts AS (SELECT a.doc_id, a.idx AS boundary, a.text || chr(10) || chr(10) || b.text AS t FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND a.idx + 1 = b.idx),
@@ -87,7 +92,7 @@ rates AS (SELECT s.doc_id, s.boundary AS idx, CASE WHEN len(s.s) < 2 THEN 0.0::D
 
 @register("entropy_rate", f"WITH {sql.CHUNKS}, {SQL_ENTROPY} SELECT doc_id, idx, entropy_rate FROM rates")
 def entropy_rate(spark, sf_dir):
-    return signals.entropy_rate(chunks(spark, sf_dir))
+    return signals.entropy_rate(lists(spark, sf_dir))
 
 
 SQL_FEATURES = f"""{SQL_DIST}, {SQL_PMI}, {SQL_DEPTHS}, {SQL_DRIFT}, {SQL_ENTROPY}, features AS (
@@ -97,7 +102,7 @@ SQL_FEATURES = f"""{SQL_DIST}, {SQL_PMI}, {SQL_DEPTHS}, {SQL_DRIFT}, {SQL_ENTROP
 
 @register("hybrid_signal", f"WITH {sql.CHUNKS}, {SQL_FEATURES} SELECT doc_id, idx, hybrid FROM features")
 def hybrid_signal(spark, sf_dir):
-    return signals.features(chunks(spark, sf_dir)).select("doc_id", "idx", "hybrid")
+    return signals.features(lists(spark, sf_dir)).select("doc_id", "idx", "hybrid")
 
 
 SQL_THRESHOLDS = """thresholds AS (SELECT doc_id, low, CASE WHEN low >= high THEN low + 0.08::DOUBLE ELSE high END AS high FROM (
@@ -106,15 +111,14 @@ SQL_THRESHOLDS = """thresholds AS (SELECT doc_id, low, CASE WHEN low >= high THE
 
 @register("percentile_thresholds", f"WITH {sql.CHUNKS}, {SQL_DIST}, {SQL_THRESHOLDS} SELECT doc_id, round(low, 6) AS low, round(high, 6) AS high FROM thresholds")
 def percentile_thresholds(spark, sf_dir):
-    return signals.thresholds(signals.distances(chunks(spark, sf_dir)), "jsd").select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return measures.limits(lists(spark, sf_dir), "jsd").select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @register("boundary_types", f"""WITH {sql.CHUNKS}, {SQL_DIST}, {SQL_THRESHOLDS}
 SELECT c.doc_id, c.idx, CASE WHEN d.jsd IS NULL THEN 'end' WHEN round(d.jsd, 9) > high THEN 'hard' WHEN round(d.jsd, 9) < low THEN 'merge' ELSE 'soft' END AS boundary_type
 FROM chunks c LEFT JOIN distances d USING (doc_id, idx) LEFT JOIN thresholds t ON c.doc_id = t.doc_id""")
 def boundary_types(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return signals.boundary_types(c, signals.distances(c), "jsd")
+    return measures.measure(lists(spark, sf_dir), ("boundary_type",))
 
 
 SQL_FLAGSHIP = f"""WITH {sql.CHUNKS}, {SQL_DIST}
@@ -124,10 +128,9 @@ SELECT * FROM (SELECT lang, doc_id, idx, round(jsd, 9) AS jsd, row_number() OVER
 @register("topic_shifts", SQL_FLAGSHIP)
 def topic_shifts(spark, sf_dir):
     """The ten strongest shifts between neighbouring windows in every language."""
-    d = docs(spark, sf_dir)
-    found = signals.distances(windows.sliding_window(d)).join(d.select("doc_id", "lang"), "doc_id").withColumn("jsd", F.round("jsd", 9))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("jsd"), "doc_id", "idx")).cast("long"))
-    return ranked.filter("rank <= 10").select("lang", "doc_id", "idx", "jsd", "rank")
+    found = measures.measure(lists(spark, sf_dir, "lang"), ("jsd",), "next", ("lang", "doc_id")).withColumn("jsd", F.round("jsd", 9))
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("jsd"), "doc_id", "idx"))).filter("r <= 10")
+    return ranked.select("lang", "doc_id", "idx", "jsd", F.col("r").cast("long").alias("rank"))
 
 
 SQL_LEX = rf"""CASE WHEN len(ta) < 2 OR len(tb) < 2 THEN {sql.jaccard('list_distinct(ta)', 'list_distinct(tb)')} ELSE
@@ -191,7 +194,7 @@ multi AS (SELECT doc_id, idx, avg(0.4::DOUBLE * {SQL_LEX} + 0.3::DOUBLE * {SQL_S
 
 @register("multiscale", f"WITH {sql.CHUNKS}, {SQL_MULTI} SELECT doc_id, idx, multiscale FROM multi")
 def multiscale(spark, sf_dir):
-    return boundary.multiscale(chunks(spark, sf_dir))
+    return boundary.multiscale(lists(spark, sf_dir))
 
 
 SQL_COMPOSITE = f"""composite AS (SELECT doc_id, idx, {sql.clip(f"0.25::DOUBLE * {SQL_LEX} + 0.20::DOUBLE * {SQL_SYN} + 0.15::DOUBLE * {SQL_TYPES} + 0.20::DOUBLE * {SQL_STRUCT} + 0.20::DOUBLE * ((CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0::DOUBLE ELSE {_sql_cosine(f'list_transform(ta, lambda t: {sql.bucket("t", 128)})', f'list_transform(tb, lambda t: {sql.bucket("t", 128)})')} END + multiscale) / 2.0::DOUBLE)")} AS boundary_score
@@ -200,7 +203,7 @@ SQL_COMPOSITE = f"""composite AS (SELECT doc_id, idx, {sql.clip(f"0.25::DOUBLE *
 
 @register("composite_boundary", f"WITH {sql.CHUNKS}, {SQL_PAIRS}, {SQL_MULTI}, {SQL_COMPOSITE} SELECT doc_id, idx, boundary_score FROM composite")
 def composite_boundary(spark, sf_dir):
-    return boundary.scores(chunks(spark, sf_dir)).select("doc_id", "idx", "boundary_score")
+    return boundary.scores(lists(spark, sf_dir)).select("doc_id", "idx", "boundary_score")
 
 
 SQL_ICC = rf"""unit_split AS (SELECT doc_id, idx, list_filter({sql.parts(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))")}, lambda x: len({sql.words('x')}) >= 4) AS u FROM chunks),
@@ -211,4 +214,4 @@ iccs AS (SELECT c.doc_id, c.idx, coalesce(raw, 0.5::DOUBLE) AS icc FROM chunks c
 
 @register("icc", f"WITH {sql.CHUNKS}, {SQL_ICC} SELECT doc_id, idx, icc FROM iccs")
 def icc(spark, sf_dir):
-    return boundary.coherence(chunks(spark, sf_dir))
+    return boundary.coherence(lists(spark, sf_dir))
