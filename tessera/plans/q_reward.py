@@ -59,10 +59,15 @@ def _judged(spark, sf_dir):
     return measures.measure(lists(spark, sf_dir), ("text", "n_words", "icc", "pmi_drop", "jsd", "boundary_type")).withColumn("strategy", F.lit("plain"))
 
 
+def _asked(spark, sf_dir):
+    """The windows, packed, and their document's probes."""
+    d = docs(spark, sf_dir).withColumns({"asked": reward.probes_of(F.col("text")), "strategy": F.lit("plain")})
+    return windows.lists(d, keep=("strategy", "asked"))
+
+
 @register("probe_coverage", f"WITH {sql.CHUNKS}, {SQL_PROBES}, {SQL_JUDGED}, {SQL_COVERED} SELECT doc_id, coverage FROM cov")
 def probe_coverage(spark, sf_dir):
-    real = reward.real_chunks(_judged(spark, sf_dir))
-    return reward.coverage(real, reward.probes(docs(spark, sf_dir))).select("doc_id", "coverage")
+    return reward.coverage_of_documents(_asked(spark, sf_dir))
 
 
 _RAW = "0.35::DOUBLE * quality + 0.25::DOUBLE * coverage + 0.20::DOUBLE * consistency + 0.20::DOUBLE * efficiency + 0.10::DOUBLE * structural - least(0.04::DOUBLE * broken, 0.30::DOUBLE)"
@@ -76,7 +81,7 @@ robj AS (SELECT doc_id, strategy, broken, in_range, coverage, {sql.clip('0.55::D
   FROM rsum JOIN sep USING (doc_id, strategy) JOIN cov USING (doc_id))
 SELECT doc_id, strategy, quality, coverage, consistency, efficiency, structural, {sql.clip(f'CASE WHEN in_range <= 0.05 THEN least({_RAW}, 0.50::DOUBLE) ELSE {_RAW} END')} AS total FROM robj""")
 def reward_components(spark, sf_dir):
-    return reward.reward(_judged(spark, sf_dir), reward.probes(docs(spark, sf_dir)), objectives=None)
+    return reward.of_documents(_asked(spark, sf_dir))
 
 
 @register("chunk_summary", rf"""WITH {sql.CHUNKS}, {SQL_JUDGED} SELECT j.doc_id, j.strategy, j.idx, c.n_words, boundary_type, 0.0::DOUBLE AS signal, coalesce(d.jsd, 0.0::DOUBLE) AS jsd,
