@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import text as tx
+from . import measures, retrieval
 
 DIM = 256
 
@@ -35,9 +39,20 @@ def document_fit(chunks: DataFrame, dim: int = DIM) -> DataFrame:
     return total.join(sums, "doc_id", "left").select("doc_id", ss2fd.alias("ss2fd"), tx.clip(ss2fd / F.ln(1.0 + F.col("words"))).alias("qcs"))
 
 
+def document_scores(texts: list[str], dim: int = DIM, block: int = 64) -> Iterator[dict[int, float]]:
+    """Of every chunk the cosines with the other ones that share a coordinate; a block of chunks is held against all at a time."""
+    bucket = measures.buckets(dim).__getitem__
+    held = np.fromiter((k * dim + bucket(t) for k, text in enumerate(texts) for t in measures.tokens(text)), np.int64)
+    v = np.bincount(held, minlength=len(texts) * dim).reshape(-1, dim).astype(float)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    v = np.divide(v, norm, out=v, where=norm > 0)
+    for at in range(0, len(texts), block):
+        for q, row in enumerate(v[at : at + block] @ v.T, at):
+            row[q] = 0.0
+            some = np.flatnonzero(row)
+            yield dict(zip(some.tolist(), row[some].tolist()))
+
+
 def neighbour_scores(chunks: DataFrame, dim: int = DIM) -> DataFrame:
     """(doc_id, q, d, score): cosine of every two chunks of a document that share a coordinate; documents of three chunks or more."""
-    held = chunks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter("n >= 3")
-    v = sparse(held, dim)
-    met = v.select("doc_id", F.col("idx").alias("q"), "d", F.col("v").alias("a")).join(v.select("doc_id", F.col("idx").alias("x"), "d", F.col("v").alias("b")), ["doc_id", "d"]).filter("q <> x")
-    return met.groupBy("doc_id", "q", F.col("x").alias("d")).agg(F.sum(F.col("a") * F.col("b")).alias("score"))
+    return retrieval.score_rows(chunks, lambda texts: document_scores(texts, dim))

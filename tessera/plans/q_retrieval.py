@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval
 from . import sql
 from .catalog import register
-from .q_signals import chunks
+from .q_signals import chunks, lists
 
 _T = sql.strip("text")
 _S = rf"string_split(regexp_replace({_T}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]"
@@ -38,7 +38,7 @@ bm AS (SELECT a.doc_id, a.q, p.idx AS d, round(sum(qtf * greatest(ln((h.n - 1 -
 
 @register("bm25_loo", f"WITH {sql.CHUNKS}, {SQL_BM25} SELECT doc_id, q, d, score FROM bm")
 def bm25_loo(spark, sf_dir):
-    return retrieval.bm25_scores(chunks(spark, sf_dir))
+    return retrieval.bm25_scores(lists(spark, sf_dir))
 
 
 @register("retrieval_metrics", f"""WITH {sql.CHUNKS}, {SQL_BM25}, pairs AS (SELECT a.doc_id, a.idx AS q, b.idx AS d, a.n FROM h3 a JOIN h3 b ON a.doc_id = b.doc_id AND a.idx <> b.idx),
@@ -47,5 +47,4 @@ each AS (SELECT doc_id, q, n, min(r) FILTER (WHERE abs(q - d) = 1) AS first, cou
 SELECT doc_id, avg(coalesce(1.0::DOUBLE / first, 0.0::DOUBLE)) AS mrr, avg(dcg / CASE WHEN q = 0 OR q = n - 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + 1.0::DOUBLE / log2(3) END) AS ndcg,
   avg(hits / 5.0::DOUBLE) AS precision, avg(hits::DOUBLE / CASE WHEN q = 0 OR q = n - 1 THEN 1 ELSE 2 END) AS recall, count(*) AS n_queries FROM each GROUP BY doc_id""")
 def retrieval_metrics(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return retrieval.ranking_metrics(c, retrieval.bm25_scores(c))
+    return retrieval.metrics_of_documents(lists(spark, sf_dir))

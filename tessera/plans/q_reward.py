@@ -147,8 +147,7 @@ each AS (SELECT doc_id, q, n, min(r) FILTER (WHERE abs(q - d) = 1) AS first, cou
 SELECT doc_id, avg(coalesce(1.0::DOUBLE / first, 0.0::DOUBLE)) AS mrr, avg(dcg / CASE WHEN q = 0 OR q = n - 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + 1.0::DOUBLE / log2(3) END) AS ndcg,
   avg(hits / 5.0::DOUBLE) AS precision, avg(hits::DOUBLE / CASE WHEN q = 0 OR q = n - 1 THEN 1 ELSE 2 END) AS recall, count(*) AS n_queries FROM each GROUP BY doc_id""")
 def embedding_retrieval_metrics(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return retrieval.ranking_metrics(c, embed.neighbour_scores(c))
+    return retrieval.metrics_of_documents(lists(spark, sf_dir), embed.document_scores)
 
 
 _LEVEL = "CASE WHEN score >= 0.70 THEN 'strong' WHEN score >= 0.40 THEN 'usable' ELSE 'weak' END"
